@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from helixlake.llm.clusters import density_clusters
 from helixlake.llm.neighbours import nearest_neighbours, neighbour_pairs
 from helixlake.sources.tables import table
 
@@ -12,5 +13,21 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbour_pairs(near).select(F.col("a").alias("spectrum_a"), F.col("b").alias("spectrum_b"))
 
 
-QUERIES = {"p1_found": p1_found}
+def _clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spectra = table(spark, sf_dir, "encoded_spectra")
+    return density_clusters(spectra, "spectrum_id", "packed_hv", "spectrum.precursor_charge", "spectrum.precursor_mz")
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _clusters(spark, sf_dir).where("id <> medoid")
+    return rows.select(F.least("id", "medoid").alias("spectrum_a"), F.greatest("id", "medoid").alias("spectrum_b"))
+
+
+def p2_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each cluster's size, medoid and most persistent members."""
+    rows = _clusters(spark, sf_dir).groupBy("cluster", "size", "medoid")
+    return rows.agg(F.array_sort(F.collect_list(F.when(F.col("exemplar"), F.col("id")))).alias("exemplars"))
+
+
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_clusters": p2_clusters}
 SQL: dict[str, str] = {}
