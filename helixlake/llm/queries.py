@@ -3,8 +3,10 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from helixlake.llm.chunks import split_points
 from helixlake.llm.clusters import density_clusters
 from helixlake.llm.neighbours import nearest_neighbours, neighbour_pairs
+from helixlake.llm.topn import top_n
 from helixlake.sources.tables import table
 
 
@@ -29,5 +31,35 @@ def p2_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.agg(F.array_sort(F.collect_list(F.when(F.col("exemplar"), F.col("id")))).alias("exemplars"))
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_clusters": p2_clusters}
-SQL: dict[str, str] = {}
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = table(spark, sf_dir, "graph_nodes")
+    return split_points(nodes, "node_id", "seq", limit=2000, overlap=100, least=1000, gap="[Nn-]{10,}").withColumnRenamed("id", "node_id")
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = table(spark, sf_dir, "search_hits").where("library_spectrum >= 0 AND score >= 0")
+    return top_n(hits, "query_spectrum", "library_spectrum", "score", 5).select("query_spectrum", "library_spectrum")
+
+
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_clusters": p2_clusters, "p3_found": p3_found, "p5_found": p5_found}
+SQL: dict[str, str] = {
+    "p5_found": """
+SELECT query_spectrum, library_spectrum FROM (
+  SELECT query_spectrum, library_spectrum, row_number() OVER (PARTITION BY query_spectrum ORDER BY s DESC, library_spectrum) AS place
+  FROM (SELECT query_spectrum, library_spectrum, max(score) AS s FROM search_hits
+        WHERE query_spectrum IS NOT NULL AND library_spectrum >= 0 AND score >= 0 AND NOT isnan(score) GROUP BY ALL))
+WHERE place <= 5""",
+    "p3_found": """
+WITH RECURSIVE long AS (
+  SELECT node_id, max(t) AS t FROM (SELECT node_id, regexp_replace(seq, '\\s', '', 'g') AS t FROM graph_nodes) WHERE length(t) > 2000 GROUP BY node_id),
+marked AS (SELECT node_id, length(t) AS n, regexp_replace(t, '([Nn-]{10,})', '\\1|', 'g') AS m FROM long),
+ends AS (
+  SELECT node_id, n, list_transform(range(1, len(p)), lambda i: list_sum(list_transform(p[1:i], lambda x: length(x)))) AS e
+  FROM (SELECT node_id, n, string_split(m, '|') AS p FROM marked)),
+cut AS (
+  SELECT node_id, n, e, 0::BIGINT AS s, CASE WHEN n <= 2000 THEN n ELSE coalesce(list_max(list_filter(e, lambda x: x > 1000 AND x <= 2000)), 2000) END::BIGINT AS f FROM ends
+  UNION ALL
+  SELECT node_id, n, e, f - 100, CASE WHEN n - (f - 100) <= 2000 THEN n ELSE coalesce(list_max(list_filter(e, lambda x: x > f + 900 AND x <= f + 1900)), f + 1900) END::BIGINT
+  FROM cut WHERE f < n)
+SELECT node_id, s AS piece_start, f AS piece_end FROM cut""",
+}
