@@ -5,7 +5,9 @@ from pyspark.sql import functions as F
 
 from helixlake.llm.chunks import split_points
 from helixlake.llm.clusters import density_clusters
+from helixlake.llm.encoding import repair_encoding
 from helixlake.llm.neighbours import nearest_neighbours, neighbour_pairs
+from helixlake.llm.packing import pack_texts
 from helixlake.llm.topn import top_n
 from helixlake.sources.tables import table
 
@@ -41,7 +43,19 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_n(hits, "query_spectrum", "library_spectrum", "score", 5).select("query_spectrum", "library_spectrum")
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_clusters": p2_clusters, "p3_found": p3_found, "p5_found": p5_found}
+def p6_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_texts(table(spark, sf_dir, "documents"), "doc_id", "text", capacity=2048)
+
+
+def p8_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_encoding(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p8_restored(spark, sf_dir).select("doc_id")
+
+
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_clusters": p2_clusters, "p3_found": p3_found, "p5_found": p5_found, "p6_packed": p6_packed, "p8_found": p8_found, "p8_restored": p8_restored}
 SQL: dict[str, str] = {
     "p5_found": """
 SELECT query_spectrum, library_spectrum FROM (
