@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from helixlake.llm.chunks import split_points
 from helixlake.llm.clusters import density_clusters
 from helixlake.llm.encoding import repair_encoding
+from helixlake.llm.leaks import find_leaks
 from helixlake.llm.neighbours import nearest_neighbours, neighbour_pairs
 from helixlake.llm.packing import pack_texts
 from helixlake.llm.topn import top_n
@@ -47,6 +48,11 @@ def p6_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_texts(table(spark, sf_dir, "documents"), "doc_id", "text", capacity=2048)
 
 
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")
+    return find_leaks(docs, "doc_id", "text", items, "item_id", "text").select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"))
+
+
 def p8_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair_encoding(table(spark, sf_dir, "documents"), "doc_id", "text")
 
@@ -55,7 +61,7 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p8_restored(spark, sf_dir).select("doc_id")
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_clusters": p2_clusters, "p3_found": p3_found, "p5_found": p5_found, "p6_packed": p6_packed, "p8_found": p8_found, "p8_restored": p8_restored}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_clusters": p2_clusters, "p3_found": p3_found, "p5_found": p5_found, "p6_packed": p6_packed, "p7_found": p7_found, "p8_found": p8_found, "p8_restored": p8_restored}
 SQL: dict[str, str] = {
     "p5_found": """
 SELECT query_spectrum, library_spectrum FROM (
