@@ -177,12 +177,14 @@ def find_leaks(docs: DataFrame, doc_id: str, doc_text: str, items: DataFrame, it
     out = None
     for block in range(blocks):
         rows = wanted.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == block).orderBy("item").collect()
-        index = spark.sparkContext.broadcast(ItemIndex([(r["item"], r["text"]) for r in rows], words, per_edit))
+        state = spark.sparkContext.broadcast(vars(ItemIndex([(r["item"], r["text"]) for r in rows], words, per_edit)))
 
-        def search(batches, index=index):
+        def search(batches, state=state):
+            index = ItemIndex.__new__(ItemIndex)
+            index.__dict__.update(state.value)
             for batch in batches:
                 ids, body = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-                found = index.value.search(body)
+                found = index.search(body)
                 yield pa.RecordBatch.from_arrays([pa.array([ids[d] for d, _ in found], pa.int64()), pa.array([k for _, k in found], pa.int64())], names=["doc", "item"])
 
         part = texts.mapInArrow(search, "doc long, item long")
