@@ -16,7 +16,7 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
 
 def first_fasta(spark: SparkSession, path: str) -> DataFrame:
     """The first record of every file: one task a file reads only up to the second `>`."""
-    raw = spark.read.option("wholetext", True).text(path)
+    raw = spark.read.text(path, wholetext=True)
     first = F.regexp_extract("value", r"(?s)^\s*>([^\r\n]*)\r?\n([^>]*)", 2)
     return raw.select(F.input_file_name().alias("file"), F.regexp_extract("value", r"^\s*>(\S+)", 1).alias("id"), F.upper(F.regexp_replace(first, r"\s+", "")).alias("seq"))
 
@@ -58,7 +58,7 @@ def read_fastq(spark: SparkSession, path: str, strict: bool = False) -> DataFram
                     rows.append((file, len(rows), head[1:].split()[0] if head[1:].split() else "", seq.upper(), qual))
                 yield pd.DataFrame(rows, columns=["file", "ordinal", "id", "seq", "quality"])
 
-    raw = spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("file"), "value")
+    raw = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
     return raw.mapInPandas(parse, "file string, ordinal long, id string, seq string, quality string")
 
 
@@ -106,7 +106,7 @@ def read_paf(spark: SparkSession, path: str) -> DataFrame:
 
 def read_graph_text(spark: SparkSession, path: str) -> DataFrame:
     """One row a file: vertices, edges, the digest of the text; the header line holds both counts."""
-    raw = spark.read.option("wholetext", True).text(path)
+    raw = spark.read.text(path, wholetext=True)
     head = F.split(F.regexp_extract("value", r"^\s*([^\r\n]+)", 1), r"\s+")
     return raw.select(F.input_file_name().alias("file"), F.get(head, 0).try_cast("long").alias("vertices"), F.get(head, 1).try_cast("long").alias("edges"), F.sha2("value", 256).alias("digest"))
 
@@ -114,6 +114,6 @@ def read_graph_text(spark: SparkSession, path: str) -> DataFrame:
 def read_alternating_reads(spark: SparkSession, path: str) -> DataFrame:
     """(file, ordinal, id, seq) of files with a name line and a sequence line in turn."""
     lines = F.filter(F.split("value", r"\r?\n"), lambda s: F.trim(s) != "")
-    raw = spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("file"), lines.alias("l"))
+    raw = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), lines.alias("l"))
     at = raw.select("file", "l", F.explode(F.sequence(F.lit(0), F.floor(F.size("l") / 2) - 1)).alias("ordinal")).where("size(l) > 1")
     return at.select("file", "ordinal", F.get("l", (F.col("ordinal") * 2).cast("int")).alias("id"), F.get("l", (F.col("ordinal") * 2 + 1).cast("int")).alias("seq"))

@@ -65,7 +65,7 @@ def elapsed_seconds(text: Column) -> Column:
 
 def read_time_log(spark: SparkSession, path: str) -> DataFrame:
     """One row a file of `/usr/bin/time -v` output; fields that are missing are null."""
-    raw = spark.read.option("wholetext", True).text(path)
+    raw = spark.read.text(path, wholetext=True)
     clock = F.regexp_extract("value", r"Elapsed \(wall clock\) time[^\n]*: ([0-9:.]+)", 1)
     fields = [F.regexp_extract("value", p, 1).try_cast("double").alias(c) for c, p in TIME_FIELDS.items()]
     return raw.select(F.input_file_name().alias("file"), *fields, F.when(clock != "", elapsed_seconds(clock)).alias("elapsed_s"))
@@ -129,7 +129,7 @@ def read_iostat(spark: SparkSession, path: str, device: str) -> DataFrame:
 
 def scrape(spark: SparkSession, path: str, patterns: dict[str, str]) -> DataFrame:
     """One row a log file: the last number that each labelled pattern finds."""
-    raw = spark.read.option("wholetext", True).text(path)
+    raw = spark.read.text(path, wholetext=True)
     last = lambda p: F.element_at(F.regexp_extract_all("value", F.lit(p), F.lit(1)), -1)
     return raw.select(F.input_file_name().alias("file"), *(F.when(F.size(F.regexp_extract_all("value", F.lit(p), F.lit(1))) > 0, last(p)).try_cast("double").alias(c) for c, p in patterns.items()))
 

@@ -34,7 +34,7 @@ def mgf_blocks(spark: SparkSession, path: str, ordinals: bool = False) -> DataFr
     in upper case). With ordinals, the place in the file counts, and each file is read whole by one task.
     """
     if ordinals:
-        raw = spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("file"), F.posexplode(F.regexp_extract_all("value", F.lit(r"(?is)BEGIN\s+IONS(.*?)END\s+IONS"), F.lit(1))).alias("ordinal", "block"))
+        raw = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.regexp_extract_all("value", F.lit(r"(?is)BEGIN\s+IONS(.*?)END\s+IONS"), F.lit(1))).alias("ordinal", "block"))
         return raw.select("file", "ordinal", "block")
     raw = spark.read.option("lineSep", "END IONS").text(path).where(F.col("value").contains("BEGIN IONS"))
     return raw.select(F.input_file_name().alias("file"), F.lit(None).cast("int").alias("ordinal"), F.element_at(F.split("value", "BEGIN IONS"), -1).alias("block"))
