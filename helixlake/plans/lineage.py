@@ -1,20 +1,25 @@
 """Cutting lineage with tables in the folder that all executors share."""
 
-import os
+import atexit
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+_OWN: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset (tests, one machine), a folder of our own."""
+    """The folder in spark.checkpoint.dir; where that is unset (tests, one machine), a folder of this process, removed at its end."""
     set_dir = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if set_dir:
         return set_dir.rstrip("/")
-    own = os.path.join(tempfile.gettempdir(), f"helixlake-{os.getuid()}")
-    os.makedirs(own, exist_ok=True)
-    return f"file://{own}"
+    if not _OWN:
+        _OWN.append(tempfile.mkdtemp(prefix="helixlake-"))
+        atexit.register(shutil.rmtree, _OWN[0], ignore_errors=True)
+    return f"file://{_OWN[0]}"
 
 
 def new_path(spark: SparkSession, label: str) -> str:
