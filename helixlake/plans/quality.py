@@ -119,7 +119,7 @@ SQL = {
     "cluster_metrics": f"""WITH {LABELLED}, {_NOTNOISE}, t AS (SELECT sum(n)::DOUBLE AS t FROM cells),
 x AS (SELECT sum(n * (n - 1) / 2)::DOUBLE AS bth, sum(n * n / b)::DOUBLE AS bp, sum(n * n / a)::DOUBLE AS br, sum(n * ln(n)) AS snn, sum(CASE WHEN n = a AND n = b THEN 1 ELSE 0 END)::BIGINT AS exact FROM cells JOIN ra USING (label) JOIN cb USING (cluster)),
 y AS (SELECT count(*) AS na, sum(a * (a - 1) / 2)::DOUBLE AS pa, sum(a * ln(a)) AS saa FROM ra), z AS (SELECT count(*) AS nb, sum(b * (b - 1) / 2)::DOUBLE AS pb, sum(b * ln(b)) AS sbb FROM cb),
-m AS (SELECT *, bth / pb AS pr, bth / pa AS re, pa * pb / (t * (t - 1) / 2) AS ex, ln(t) - saa / t AS ha, ln(t) - sbb / t AS hb, ln(t) + (snn - saa - sbb) / t AS mi FROM t, x, y, z)
+m AS (SELECT *, CASE WHEN pb > 0 THEN bth / pb ELSE 1 END AS pr, CASE WHEN pa > 0 THEN bth / pa ELSE 1 END AS re, pa * pb / (t * (t - 1) / 2) AS ex, ln(t) - saa / t AS ha, ln(t) - sbb / t AS hb, ln(t) + (snn - saa - sbb) / t AS mi FROM t, x, y, z)
 SELECT t::BIGINT AS n, exact AS exact_clusters, round(pr, 6) AS precision, round(re, 6) AS recall, CASE WHEN pr + re > 0 THEN round(2 * pr * re / (pr + re), 6) ELSE 0 END AS f1, round((bth - ex) / ((pa + pb) / 2 - ex), 6) AS ari, round(2 * mi / (ha + hb), 6) AS nmi, round(mi / ha, 6) AS homogeneity,
   round(mi / hb, 6) AS completeness, round(bp / t, 6) AS bcubed_precision, round(br / t, 6) AS bcubed_recall, round(2 * (bp / t) * (br / t) / (bp / t + br / t), 6) AS bcubed_f1, round(exact::DOUBLE / na, 6) AS exact_ratio, round(least(na, nb)::DOUBLE / greatest(na, nb), 6) AS count_agreement FROM m""",
     "contingency_cells": f"WITH {LABELLED} SELECT label AS truth, cluster AS predicted, count(*) AS n FROM lab WHERE label IS NOT NULL GROUP BY ALL",

@@ -264,8 +264,10 @@ SELECT direction, CASE WHEN lower(direction) LIKE '%htod%' THEN 'in' WHEN lower(
     "prefix_cutoff": """WITH x AS (SELECT doc_id, length(text) AS n, sum(length(text)) OVER (ORDER BY doc_id ROWS UNBOUNDED PRECEDING) - length(text) AS b FROM documents WHERE length(text) >= 50) SELECT doc_id, least(n, 500000 - b)::INT AS kept FROM x WHERE b < 500000""",
     "seeded_sample": f"SELECT o_orderkey FROM orders ORDER BY {_ORD}, o_orderkey LIMIT 100",
     "candidate_caps": "SELECT o_custkey, o_orderkey, r::INT AS place FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS r FROM orders) WHERE r <= 3",
-    "capped_groups": """WITH g AS (SELECT p_brand, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, p_brand) AS r FROM part GROUP BY 1), k AS (SELECT p_brand, p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS i FROM part)
-SELECT p_brand, p_partkey FROM k JOIN g USING (p_brand) WHERE i <= 20 AND r <= 5""",
+    "capped_groups": """WITH RECURSIVE g AS (SELECT p_brand, least(count(*), 20) AS t, row_number() OVER (ORDER BY count(*) DESC, p_brand) AS r FROM part GROUP BY 1),
+w(r, room, brand, took) AS (SELECT 0::BIGINT, 100::BIGINT, NULL::VARCHAR, false UNION ALL SELECT g.r, CASE WHEN t <= room THEN room - t ELSE room END, p_brand, t <= room FROM w JOIN g ON g.r = w.r + 1),
+k AS (SELECT p_brand, p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS i FROM part)
+SELECT p_brand, p_partkey FROM k WHERE i <= 20 AND p_brand IN (SELECT brand FROM w WHERE took)""",
     "round_robin": "WITH x AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS i FROM orders) SELECT o_orderkey, i % 16 AS tile, i // 16 AS \"column\" FROM x WHERE i < 8000",
     "best_by_struct": "SELECT DISTINCT ON (l_orderkey) l_orderkey, l_quantity, l_extendedprice, l_linenumber FROM lineitem ORDER BY l_orderkey, l_quantity DESC, l_extendedprice DESC, l_linenumber",
     "group_pairs": "SELECT a.c_custkey AS c_custkey_a, b.c_custkey AS c_custkey_b FROM customer a JOIN customer b ON a.c_mktsegment = b.c_mktsegment AND floor(a.c_acctbal / 5) = floor(b.c_acctbal / 5) AND a.c_custkey < b.c_custkey",
