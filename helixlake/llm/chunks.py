@@ -1,20 +1,38 @@
 """Problem 3: cutting oversized items at natural boundaries with overlap, by pointer doubling."""
 
-from pyspark.sql import Column, DataFrame
+import re
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from helixlake.plans.lineage import materialise, new_path, remove
 
 
-def boundaries(text: Column, gap: str) -> Column:
-    """Offsets right after every maximal match of the regular expression `gap`, ascending."""
-    runs = F.transform(F.regexp_extract_all(text, F.lit(f"({gap})"), F.lit(1)), lambda x: F.length(x))
-    kept = F.transform(F.split(text, gap, -1), lambda x: F.length(x))
-    steps = F.zip_with(F.slice(kept, 1, F.size(runs)), runs, lambda x, y: x + y)
-    grown = F.aggregate(
-        steps, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all")), lambda s, x: F.struct((s["at"] + x).alias("at"), F.concat(s["all"], F.array(s["at"] + x)).alias("all"))
-    )
-    return grown["all"]
+def successors(starts: np.ndarray, ends: np.ndarray, n: int, limit: int, overlap: int, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """For every start: forced cuts before the next natural one, and the boundary that one ends at (-1: the text's end).
+
+    Forced cuts follow at a fixed stride, so boundary e comes into reach after floor((e - s - least - 1) / stride) of them, if
+    the rest of that division is below limit - least; else it is passed by. The first boundary in reach decides the window,
+    the last one of that window is taken. All starts look at their next boundary at once; few need a second or third look.
+    """
+    stride = limit - overlap
+    last = np.maximum(0, -(-(n - limit - starts) // stride))
+    forced, end = last.copy(), np.full(len(starts), -1, np.int64)
+    at = np.searchsorted(ends, starts + least, "right")
+    look = np.flatnonzero(at < len(ends))
+    while len(look):
+        k, rest = np.divmod(ends[at[look]] - starts[look] - least - 1, stride)
+        open_ = k < last[look]
+        hit = open_ & (rest < limit - least)
+        i = look[hit]
+        forced[i] = k[hit]
+        end[i] = ends[np.searchsorted(ends, starts[i] + k[hit] * stride + limit, "right") - 1]
+        look = look[open_ & ~hit]
+        at[look] += 1
+        look = look[at[look] < len(ends)]
+    return forced, end
 
 
 def split_points(df: DataFrame, id_col: str, text_col: str, limit: int, overlap: int, least: int, gap: str) -> DataFrame:
@@ -24,11 +42,10 @@ def split_points(df: DataFrame, id_col: str, text_col: str, limit: int, overlap:
     offset after a maximal run that matches `gap`) with b + least < e <= b + limit, or at b + limit if there is none. The
     next piece starts `overlap` before that end.
 
-    Candidate starts are 0 and every boundary less the overlap. From each, forced cuts (without a boundary in reach) follow
-    at a fixed stride, so its farthest legal successor is found by one comparison of all boundaries with that stride: the
-    first boundary that falls into a window, then the last one of that window. Every start is joined to its successor; the
-    successor tables are squared (start to the 2nd, 4th, 8th next ...) while the set of starts reached from 0 doubles, so a
-    text of n pieces takes log2(n) rounds, however many texts there are. Forced cuts are laid out last.
+    Candidate starts are 0 and every boundary less the overlap; each is linked to its farthest legal successor, forced cuts
+    in between included (see `successors`). The successor tables are squared (start to the 2nd, 4th, 8th next ...) while the
+    set of starts reached from 0 doubles, so a text of n pieces takes log2(n) rounds, however many texts there are. Forced
+    cuts are laid out last. Time and memory are linear in a text's length and its boundaries.
 
     Texts that are null, empty, `*` or short give no rows. A repeated id counts once (its longest text, then the greatest).
     A text without boundaries is cut at the stride. Other columns are dropped first. An empty input gives no rows.
@@ -37,27 +54,33 @@ def split_points(df: DataFrame, id_col: str, text_col: str, limit: int, overlap:
         raise ValueError("need 0 <= overlap < least <= limit")
     spark, stride = df.sparkSession, limit - overlap
     bare = F.regexp_replace(F.col(text_col), r"[\s\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+", "")
-    long = df.select(F.col(id_col).alias("id"), F.length(bare).alias("n"), bare.alias("t")).where(F.col("id").isNotNull() & (F.col("n") > limit))
-    cut = long.select("id", "n", boundaries(F.col("t"), gap).alias("ends"))
-    cut = cut.groupBy("id").agg(F.max(F.struct("n", "ends")).alias("m")).select("id", "m.n", "m.ends")
-    items = materialise(cut, "items")
-
-    starts = items.select("id", "n", "ends", F.explode(F.concat(F.array(F.lit(0)), F.filter(F.transform("ends", lambda e: e - overlap), lambda s: s > 0))).alias("s")).distinct()
-    # The number of forced cuts before boundary e comes into reach of the chain s, s + stride, ...; -1 if it never does.
-    ahead = F.col("s") + F.lit(least)
-    rest = lambda e: F.pmod(e - ahead - 1, F.lit(stride))
-    first = F.array_min(F.filter("ends", lambda e: (e > ahead) & (rest(e) < F.lit(limit - least))))
-    forced = F.floor((F.col("first") - ahead - 1) / F.lit(stride))
-    # The chain stops at the piece whose start leaves at most `limit` characters.
-    last_forced = F.greatest(F.lit(0), F.ceil((F.col("n") - F.lit(limit) - F.col("s")) / F.lit(stride)))
-    best = F.array_max(F.filter("ends", lambda e: (e > ahead + F.col("k") * stride) & (e <= F.col("s") + F.col("k") * stride + limit)))
-    links = starts.withColumn("first", first).withColumn("k", F.when(F.col("first").isNotNull(), forced)).withColumn("stop", last_forced)
-    links = links.withColumn("e", F.when((F.col("k").isNotNull()) & (F.col("k") < F.col("stop")), best))
-    links = materialise(
-        links.select("id", "s", "n", F.when(F.col("e").isNotNull(), F.col("k")).otherwise(F.col("stop")).cast("int").alias("k"), F.col("e"), (F.col("e") - overlap).alias("next")), "links"
-    )
-
-    reached = starts.where("s = 0").select("id", "s")
+    long = df.select(F.col(id_col).alias("id"), bare.alias("t")).where(F.col("id").isNotNull() & (F.length("t") > limit))
+    kind = dict(long.dtypes)["id"]
+
+    def find_ends(batches):
+        pattern = re.compile(gap)
+        for batch in batches:
+            texts = batch.column(1).to_pylist()
+            ends = [[m.end() for m in pattern.finditer(t)] for t in texts]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(len, texts), pa.int64()), pa.array(ends, pa.list_(pa.int64()))], names=["id", "n", "ends"])
+
+    found = long.mapInArrow(find_ends, f"id {kind}, n long, ends array<long>")
+    items = materialise(found.groupBy("id").agg(F.max(F.struct("n", "ends")).alias("m")).select("id", "m.n", "m.ends"), "items")
+
+    def link(batches):
+        for batch in batches:
+            for key, n, ends in zip(batch.column(0), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                e = ends.values.to_numpy()
+                s = np.unique(np.concatenate([[0], e[e > overlap] - overlap]))
+                k, end = successors(s, e, n, limit, overlap, least)
+                natural = end >= 0
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([key.as_py()] * len(s), key.type), pa.array(s), pa.array([n] * len(s), pa.int64()), pa.array(k), pa.array(end, mask=~natural), pa.array(end - overlap, mask=~natural)], names=["id", "s", "n", "k", "e", "next"]
+                )
+
+    links = materialise(items.mapInArrow(link, f"id {kind}, s long, n long, k long, e long, next long"), "links")
+
+    reached = links.where("s = 0").select("id", "s")
     jump_path = new_path(spark, "jump")
     jump = materialise(links.where("next IS NOT NULL").select("id", "s", "next"), "jump", jump_path)
     while jump.limit(1).count():
@@ -69,7 +92,7 @@ def split_points(df: DataFrame, id_col: str, text_col: str, limit: int, overlap:
         remove(spark, jump_path)
         jump, jump_path = nxt, nxt_path
     rows = links.join(reached, ["id", "s"])
-    pieces = rows.select("id", "n", "s", "k", "e", F.explode(F.sequence(F.lit(0), F.col("k"))).alias("i"))
+    pieces = rows.select("id", "n", "s", "k", "e", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k"))).alias("i"))
     start = F.col("s") + F.col("i") * stride
     end = F.when(F.col("i") < F.col("k"), start + limit).otherwise(F.coalesce("e", "n"))
     return pieces.select("id", start.cast("long").alias("piece_start"), end.cast("long").alias("piece_end"))
