@@ -88,7 +88,7 @@ def display_forms(spark, d):
     return p.select("p_partkey", scalars.humanised_seconds(F.col("p_size") * 90.0).alias("time"), scalars.humanised_bytes(F.col("p_size") * 40000.0).alias("size"), scalars.natural_key(F.col("p_name")).alias("key"))
 
 
-def mzted_rows(spark, d):
+def mztab_rows(spark, d):
     """Library rows as lines of a report, with their chunk of 1,000 in natural order."""
     lib = table(spark, d, "library_spectra").where("peptide IS NOT NULL")
     rows = sinks.mztab_lines(lib, {}, ["library_id", "peptide", "charge"], "peptide").where("section = '3-PSM'")
@@ -222,7 +222,7 @@ def total_latencies(spark, d):
     return full.unionByName(part).select("total_seconds", F.concat_ws(",", "missing").alias("missing"))
 
 
-QUERIES = {f.__name__: f for f in (cold_warm_pairing, cold_warm_rows, interval_union, interval_union_by_type, interval_peak, direction_rollup, stage_rollup, list_column_totals, manifest_status, regression_metrics, event_averages, props_parsed, display_forms, mzted_rows, paf_rows, union_align, key_intersection, resume_antijoin, input_equivalence, source_digests, hash_sample_cutoff, prefix_cutoff, seeded_sample, candidate_caps, capped_groups, round_robin, best_by_struct, group_pairs, expert_routing, bucket_costs, search_costs, transfer_costs, projections, total_latencies)}
+QUERIES = {f.__name__: f for f in (cold_warm_pairing, cold_warm_rows, interval_union, interval_union_by_type, interval_peak, direction_rollup, stage_rollup, list_column_totals, manifest_status, regression_metrics, event_averages, props_parsed, display_forms, mztab_rows, paf_rows, union_align, key_intersection, resume_antijoin, input_equivalence, source_digests, hash_sample_cutoff, prefix_cutoff, seeded_sample, candidate_caps, capped_groups, round_robin, best_by_struct, group_pairs, expert_routing, bucket_costs, search_costs, transfer_costs, projections, total_latencies)}
 
 _SPAN = "sp AS (SELECT user_id, event_type, epoch_us(ts) AS s, epoch_us(ts) + floor(value)::BIGINT * 1000000 AS e FROM events WHERE value IS NOT NULL)"
 
@@ -253,7 +253,7 @@ SELECT direction, CASE WHEN lower(direction) LIKE '%htod%' THEN 'in' WHEN lower(
     "props_parsed": "SELECT event_id, try_cast(json_extract_string(props, '$.k') AS DOUBLE) AS k, 0::DOUBLE AS missing FROM events",
     "display_forms": """WITH p AS (SELECT *, p_size * 90.0::DOUBLE AS s, p_size * 40000.0::DOUBLE AS b FROM part) SELECT p_partkey, CASE WHEN s < 120 THEN printf('%.1f s', s) WHEN s < 7200 THEN printf('%.1f min', s / 60) ELSE printf('%.1f h', s / 3600) END AS time,
   CASE WHEN b < 1e6 THEN printf('%.1f kB', b / 1e3) ELSE printf('%.1f MB', b / 1e6) END AS size, list_aggregate(list_transform(regexp_extract_all(lower(p_name), '\\d+|\\D+'), lambda x: CASE WHEN regexp_matches(x, '^\\d') THEN lpad(x, 20, '0') ELSE x END), 'string_agg', '') AS key FROM p""",
-    "mzted_rows": "WITH v AS (SELECT concat_ws(chr(9), 'PSM', library_id, peptide, charge) AS value FROM library_spectra WHERE peptide IS NOT NULL) SELECT value, ((row_number() OVER (ORDER BY value) - 1) // 1000)::BIGINT AS chunk FROM v",
+    "mztab_rows": "WITH v AS (SELECT concat_ws(chr(9), 'PSM', library_id, peptide, charge) AS value FROM library_spectra WHERE peptide IS NOT NULL) SELECT value, ((row_number() OVER (ORDER BY value) - 1) // 1000)::BIGINT AS chunk FROM v",
     "paf_rows": """SELECT o_orderkey, o_custkey % 500 AS "end", o_orderkey % 200 AS length, o_custkey % 300 AS score, greatest(0, o_custkey % 500 - o_orderkey % 200) AS start, least(o_orderkey % 200, (o_custkey % 300) // 2) AS matches FROM orders""",
     "union_align": "SELECT c_name AS name, c_acctbal AS balance, NULL::VARCHAR AS region, c_mktsegment, 'customer' AS source FROM customer UNION ALL SELECT s_name, s_acctbal, NULL, NULL, 'supplier' FROM supplier",
     "key_intersection": "SELECT o_custkey AS k FROM orders INTERSECT SELECT c_custkey FROM customer",
