@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from helixlake.llm import bitscan
 
-#: Of `sample_rows` rows at most, the lists' leaders are chosen: at most `MAX_LISTS`, so the broadcast index is under 5 MB.
+#: Of `sample_rows` rows at most, the lists' leaders are chosen: at most `MAX_LISTS` and those of crowds. All are sample rows, so
+#: the broadcast index is under 5 MB.
 MAX_LISTS = 16_384
 ROWS_A_LIST = 60
+CROWD_LISTS = 8
 #: The leaders' radius in bits over all bits, and the bits over which rows are compared with leaders.
 RADIUS = 600 / 2048
 LEADER_WORDS = 8
@@ -39,22 +41,25 @@ def choose_leaders(sample: np.ndarray, n_lists: int, weight: float, cap: float)
 
     A leader takes the unclaimed sample rows within the radius. Where that stands for more than `cap` rows (each sample row
     for `weight`), the radius is halved there, so that a crowd of like vectors gets many leaders instead of one long list.
+    Outside crowds at most `n_lists` leaders are chosen; every crowd has `CROWD_LISTS` more for each `cap` rows it stands
+    for. All rows are looked at even when the leaders are used up, since a crowd may still come.
     """
     words = sample[:, : min(LEADER_WORDS, sample.shape[1])]
     bits = words.shape[1] * 64
     chosen: list[int] = []
-    todo = [(np.arange(len(sample)), RADIUS * bits)]
-    while todo and len(chosen) < MAX_LISTS:
-        rows, radius = todo.pop()
-        top = len(todo) == 0
-        while len(rows) and len(chosen) < (n_lists if top else MAX_LISTS):
-            near = np.bitwise_count(words[rows] ^ words[rows[0]]).sum(axis=1, dtype=np.int32) <= radius
+    todo = [(np.arange(len(sample)), RADIUS * bits, n_lists)]
+    while todo:
+        rows, radius, budget = todo.pop()
+        part = np.ascontiguousarray(words[rows].T)
+        while len(rows) and (budget > 0 or len(rows) * weight > cap):
+            near = np.bitwise_count(part ^ part[:, :1]).sum(axis=0, dtype=np.int32) <= radius
             taken = rows[near]
             if len(taken) * weight > cap and radius >= 16 and len(taken) > 1:
-                todo.append((taken, radius / 2))
-            else:
+                todo.append((taken, radius / 2, int(np.ceil(CROWD_LISTS * len(taken) * weight / cap))))
+            elif budget > 0:
                 chosen.append(int(rows[0]))
-            rows = rows[~near]
+                budget -= 1
+            rows, part = (rows[1:], part[:, 1:]) if len(taken) == 1 else (rows[~near], part[:, ~near])
     return words[np.array(chosen, np.int64)]
 
 
@@ -79,7 +84,8 @@ def nearest_neighbours(
 
     A leader index is fitted on at most `sample_rows` rows; every row goes into the lists of its `probes` nearest leaders
     (`near_probes` if one leader is so near that the row belongs to its family), and each list is scanned by itself with the
-    adaptive dimension scan. Lists stay near `list_cap` rows, since crowded regions get more leaders. Of more than k + 1
+    adaptive dimension scan. Regions of more than `list_cap` rows get leaders of their own; a list is never cut, and one whose
+    leader lies in the middle of a crowd can hold most of it. Of more than k + 1
     equal vectors only the k + 1 smallest ids enter the lists; the others' neighbours are the k smallest ids of their group.
     Null ids, null or unusable vectors are left out; a repeated id counts once (with different vectors, by its nearest);
     equal distances go by smaller id; an empty input gives an empty result. Other columns are never read.
@@ -90,7 +96,9 @@ def nearest_neighbours(
     n_lists = int(max(1, min(total // ROWS_A_LIST, MAX_LISTS)))
     want = min(sample_rows, max(64, 4 * n_lists))
     share = min(1.0, 1.3 * want / max(total, 1))
-    picked = vectors.where(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1_000_000)) < int(share * 1_000_000) + 1).select("hv").limit(want)
+    place = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1_000_000))
+    # By hash, not the first rows: a crowd at the end of the table must be in the sample as well.
+    picked = vectors.where(place < int(share * 1_000_000) + 1).orderBy(place, "id").select("hv").limit(want)
     order = bitscan.rotation(n_bytes * 8, seed)
     sample = bitscan.rotate(_matrix(picked.toArrow()["hv"], n_bytes), order)
     if total and not len(sample):
