@@ -26,11 +26,11 @@ def rotate(packed: np.ndarray, order: np.ndarray) -> np.ndarray:
     return out
 
 
-def critical(words: int, limit, total: int):
+def critical(words: int, limit, total: int, z: float = Z):
     """The largest partial distance over `words` words that fits a full distance of `limit`."""
     m, n = words * 64, total * 64
     p = np.asarray(limit, np.float64) / n
-    return np.floor(m * p + Z * np.sqrt(np.maximum(m * p * (1 - p) * (n - m) / max(n - 1, 1), 0)) + 0.5)
+    return np.floor(m * p + z * np.sqrt(np.maximum(m * p * (1 - p) * (n - m) / max(n - 1, 1), 0)) + 0.5)
 
 
 def _partial(a: np.ndarray, b: np.ndarray, lo: int, hi: int) -> np.ndarray:
@@ -44,14 +44,14 @@ def _pairs(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray, lo: int,
     return np.bitwise_count(a[i, lo:hi] ^ b[j, lo:hi]).sum(axis=1, dtype=np.int32)
 
 
-def survivors(a: np.ndarray, b: np.ndarray, limit: np.ndarray):
+def survivors(a: np.ndarray, b: np.ndarray, limit: np.ndarray, z: float = Z):
     """Pairs (i, j, distance) of rows of `a` and `b` with distance <= limit[i], by the adaptive scan."""
     total = a.shape[1]
     stops = [s for s in STOPS if s < total] + [total]
     acc, at = _partial(a, b, 0, stops[0]), stops[0]
     stop = 0
     while at < total:
-        alive = acc <= critical(at, limit, total)[:, None]
+        alive = acc <= critical(at, limit, total, z)[:, None]
         if alive.mean() < 0.1:
             break
         stop += 1
@@ -63,7 +63,7 @@ def survivors(a: np.ndarray, b: np.ndarray, limit: np.ndarray):
     i, j = np.nonzero(alive)
     d = acc[i, j].astype(np.int32)
     for nxt in stops[stop + 1 :]:
-        keep = d <= critical(at, limit, total)[i]
+        keep = d <= critical(at, limit, total, z)[i]
         i, j, d = i[keep], j[keep], d[keep]
         d = d + _pairs(a, b, i, j, at, nxt)
         at = nxt
