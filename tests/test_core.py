@@ -208,6 +208,13 @@ def test_graph_orders(spark):
     assert {(r["node"], r["hops"]) for r in sequences.hops(edges, nodes.where("n = 'a'"), "n", 5).collect()} == {("a", 0), ("b", 1), ("c", 1), ("d", 2), ("c2", 2)}
 
 
+def test_levels_beyond_max_rounds_are_no_cycle(spark):
+    nodes, edges = spark.createDataFrame([("a",), ("b",), ("c",)], "n string"), spark.createDataFrame([("a", "b"), ("b", "c")], "source string, target string")
+    with pytest.raises(ValueError):
+        sequences.topological_levels(nodes, edges, "n", max_rounds=2)
+    assert dict(sequences.topological_levels(nodes, edges, "n", max_rounds=3).collect()) == {"a": 0, "b": 1, "c": 2}
+
+
 def test_alignment(spark):
     assert sequences.banded_score("ACGT", "ACGT", 8) == (8, 16, 0)
     assert sequences.banded_score("", "ACG", 8) == (0, 0, 3)
