@@ -1,9 +1,10 @@
-"""Problem 7: passages of held-out items inside documents, by MinHash containment search and exact shingle containment."""
+"""Problem 7: passages of held-out items inside documents, by size-partitioned MinHash containment and exact shingle containment."""
 
 import html
 import re
 import unicodedata
 from difflib import SequenceMatcher
+from math import ceil, log
 
 import numpy as np
 import pyarrow as pa
@@ -11,17 +12,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SHINGLE = 5
-#: Items of one pass over the documents; more items are searched in several blocks, so the broadcast index stays bounded.
-BLOCK_ITEMS = 20_000
+#: Items and characters of items in one pass over the documents; what is beyond is searched in further passes, so the broadcast index stays bounded.
+BLOCK_ITEMS, BLOCK_CHARS = 20_000, 16_000_000
+#: Upper bounds of the size partitions, in shingles; an item above the last is divided into overlapping parts of that size.
+PARTITIONS = (32, 64, 128, 256)
+#: The chance that MinHash misses the least similar passage that is allowed, were that the document's only window with it.
+MISS = 1e-4
 TAG = re.compile(r"</?[a-zA-Z][^<>\n]{0,200}>")
 BROKEN = re.compile(r"(?<=\w)[-‐‑][ \t]*\r?\n[ \t]*(?:[>#*/|;%]+[ \t]*)?(?=\w)")
-WORD = re.compile(r"\d+(?:[.,]\d+)+|[^\W_⺀-鿿가-힯]+(?:['’-][^\W_⺀-鿿가-힯]+)*")
+#: Scripts written without blanks between words: every letter is a word of its own.
+UNSPACED = "฀-໿က-႟ក-៿⺀-꓏豈-﫿\U00020000-\U0003ffff"
+WORD = re.compile(rf"\d+(?:[.,]\d+)+|[^\W_{UNSPACED}]+(?:['’-][^\W_{UNSPACED}]+)*|(?=\w)[{UNSPACED}]")
+ALONE = re.compile(f"[{UNSPACED}]")
 JOINERS = re.compile(r"['’-]")
 INVISIBLE = re.compile(r"[­͏؜ᅟᅠ឴឵᠋-᠏​-‏‪-‮⁠-⁯︀-️﻿]")
 
 
 def words_of(text: str) -> list[str]:
-    """The words of a text whatever its case, punctuation, markup, line layout, broken words or form of characters."""
+    """The words of a text whatever its case, punctuation, markup, line layout, broken words or form of characters; in scripts
+    written without blanks between words (Chinese, Japanese, Thai ...) every letter is a word."""
     if not text.isascii():
         text = INVISIBLE.sub("", unicodedata.normalize("NFKC", text))
     if "<" in text:
@@ -51,49 +60,67 @@ def shingle_hashes(ids: np.ndarray) -> np.ndarray:
     return h
 
 
-def window_minhash(h: np.ndarray, width: int) -> np.ndarray:
-    """The MinHash of every window of `width` shingles; 0 for windows with an unusable shingle."""
-    n = len(h) - width + 1
-    if n <= 0:
-        return np.empty(0, np.uint64)
-    out, good = h[:n].copy(), h[:n] > 0
-    for k in range(1, width):
-        out = np.minimum(out, h[k : k + n])
-        good &= h[k : k + n] > 0
-    out[~good] = 0
+def signatures(h: np.ndarray, starts: np.ndarray, minima: int) -> np.ndarray:
+    """The MinHash signatures of consecutive sets of shingle hashes, set i from starts[i] on: (sets, minima), the number of
+    the minimum mixed in, so that values of different places of a signature never meet."""
+    draw = np.random.default_rng(5).integers(0, 2**63, (minima, 2), np.uint64)
+    out = np.empty((len(starts), minima), np.uint64)
+    for i in range(minima):
+        least = np.minimum.reduceat((h ^ draw[i, 0]) * (draw[i, 1] | np.uint64(1)), starts)
+        out[:, i] = (least ^ (least >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) + draw[i, 0]
     return out
 
 
 class ItemIndex:
-    """The items' words, shingles and the MinHashes of their windows, partitioned by window width.
+    """The items' words, shingles and MinHash signatures, partitioned by size.
 
-    A passage of `words` words with at most one in `per_edit` changed keeps an unchanged run of at least `run` words, that is
-    a window of run - SHINGLE + 1 shingles that is the same set in item and document: there containment and Jaccard
-    similarity are 1, and one MinHash finds it with certainty. Short items and long documents are thereby compared by windows
-    of one size, which is what the partitioning by size is for.
+    A passage of n >= `words` words with at most one in `per_edit` changed always contains one of fewer than 2 * `words` words
+    that is allowed too (cut it into stretches of that size: not all can be worse than the whole), and of such a stretch at
+    least `least` shingles are left unchanged. So an item of s shingles and a stretch of a document with w shingles of any item
+    have a Jaccard similarity of at least least / (s + w - least) if the stretch holds a passage: in a partition of items of at
+    most s shingles, a signature of that many minima finds it but for a chance of MISS. Long items (parts of the largest
+    partition, which overlap by 2 * `words` words) and long documents (stretches that overlap by as much) are thereby
+    compared with sets of like size, though the containment of a short item in a whole document says little by itself.
     """
 
     def __init__(self, items: list[tuple[int, str]], words: int, per_edit: int):
-        run = min(-(-(n - n // per_edit) // (n // per_edit + 1)) for n in range(words, 20 * words))
-        self.words, self.per_edit, self.width = words, per_edit, max(1, run - SHINGLE + 1)
+        self.words, self.per_edit = words, per_edit
+        self.least = max(1, min(n - SHINGLE + 1 - SHINGLE * (n // per_edit) for n in range(words, 2 * words)))
+        # a stretch of `stride` + 1 words at least lies whole in one of the windows of two strides
+        self.stride = 2 * words + -(-2 * words // per_edit)
         self.vocabulary: dict[str, int] = {}
         self.items = []
-        hashes, owner, minima, min_owner = [], [], [], []
+        hashes, owner = [], []
+        parts: dict[int, list[tuple[int, np.ndarray]]] = {p: [] for p in PARTITIONS}
         for key, text in items:
-            ids, at = [], []
+            ids, at, place = [], [], 0
             # the place of a token counts the words between blanks, so that signs standing alone count as in the text
-            for place, word in enumerate(text.split()):
-                for w in words_of(word):
+            for blank in text.split():
+                for w in words_of(blank):
+                    place += ALONE.match(w) is not None
                     ids.append(self.vocabulary.setdefault(w, len(self.vocabulary) + 1))
                     at.append(place)
+                place += 1
             k = len(self.items)
             self.items.append((key, ids, at))
             h = shingle_hashes(np.array(ids, np.int64))
             hashes.append(h), owner.append(np.full(len(h), k))
-            m = window_minhash(h, self.width)
-            minima.append(m), min_owner.append(np.full(len(m), k))
+            step = PARTITIONS[-1] - 2 * words
+            for a in range(0, max(1, len(h) - 2 * words), step):
+                part = np.unique(h[a : a + PARTITIONS[-1]])
+                if len(part) >= self.least:
+                    parts[next(p for p in PARTITIONS if len(part) <= p)].append((k, part))
         self.hash, self.owner = self._sorted(hashes, owner)
-        self.minimum, self.min_owner = self._sorted(minima, min_owner)
+        self.known = np.zeros(1 << max(12, (16 * len(self.hash)).bit_length()), bool)
+        self.known[self.hash & np.uint64(len(self.known) - 1)] = True
+        self.partitions = []
+        for p, members in parts.items():
+            if members:
+                jaccard = self.least / (p + 2 * self.stride - self.least)
+                minima = ceil(log(MISS) / log(1 - jaccard))
+                starts = np.cumsum([0] + [len(h) for _, h in members[:-1]])
+                sign = signatures(np.concatenate([h for _, h in members]), starts, minima)
+                self.partitions.append((minima, *self._sorted(list(sign), [np.full(minima, k) for k, _ in members])))
 
     @staticmethod
     def _sorted(hashes, owner):
@@ -102,8 +129,38 @@ class ItemIndex:
         pair = np.unique(np.rec.fromarrays([h, o])) if len(h) else None
         return (pair.f0.copy(), pair.f1.copy()) if pair is not None else (h, o)
 
+    @staticmethod
+    def _owners(keys: np.ndarray, owner: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place in `wanted`, owner) of every entry of the sorted `keys` that equals a wanted one."""
+        first, last = np.searchsorted(keys, wanted, "left"), np.searchsorted(keys, wanted, "right")
+        n = last - first
+        at = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
+        return np.repeat(np.arange(len(wanted)), n), owner[at]
+
+    def candidates(self, doc: np.ndarray, pos: np.ndarray, h: np.ndarray) -> np.ndarray:
+        """doc * items + item of the pairs whose signatures meet, from the places in order that hold a shingle of any item."""
+        # windows of two strides: place p lies in number p // stride and in the one before
+        window = np.concatenate([pos // self.stride, pos // self.stride - 1])
+        by = np.lexsort((window, np.concatenate([doc, doc])))
+        window, of, sets = window[by], np.concatenate([doc, doc])[by], np.concatenate([h, h])[by]
+        starts = np.flatnonzero(np.r_[True, (np.diff(window) != 0) | (np.diff(of) != 0)])
+        held = np.diff(np.r_[starts, len(sets)])
+        # fewer shared shingles than every allowed passage has: no passage
+        ok = held >= self.least
+        sets, of, held = sets[np.repeat(ok, held)], of[starts[ok]], held[ok]
+        starts, out = np.cumsum(held) - held, []
+        for a in range(0, len(starts), 4096):
+            some = starts[a : a + 4096]
+            end = starts[a + 4096] if a + 4096 < len(starts) else len(sets)
+            sign = signatures(sets[some[0] : end], some - some[0], max(m for m, _, _ in self.partitions))
+            for minima, keys, owner in self.partitions:
+                at, k = self._owners(keys, owner, sign[:, :minima].ravel())
+                out.append(np.unique(of[a + at // minima] * len(self.items) + k))
+        return np.unique(np.concatenate(out)) if out else np.empty(0, np.int64)
+
     def passage(self, ids: list[int], at: list[int], region: list[int]) -> bool:
-        """Whether `region` holds a passage of the item, by the chain of the words they share."""
+        """Whether `region` holds a passage of the item, by the chain of the words they share. Changed words count as often as
+        there are words between blanks, and also at a passage's ends, where they are needed to reach its least length."""
         blocks = [b for b in SequenceMatcher(None, ids, region, autojunk=False).get_matching_blocks() if b.size]
         for i, first in enumerate(blocks):
             edits = 0
@@ -111,69 +168,77 @@ class ItemIndex:
                 b = blocks[j]
                 if j > i:
                     p = blocks[j - 1]
-                    edits += max(b.a - p.a - p.size, b.b - p.b - p.size)
+                    gone, new = at[p.a + p.size : b.a], b.b - p.b - p.size
+                    edits += len(set(gone)) + max(0, new - len(gone))
                 span = at[b.a + b.size - 1] - at[first.a] + 1
-                if span >= self.words and edits * self.per_edit <= span:
+                more = max(0, self.words - span)
+                if more <= at[-1] + 1 - span and (edits + more) * self.per_edit <= span + more:
                     return True
         return False
 
     def search(self, texts: list[str | None]) -> list[tuple[int, int]]:
         """(text number, item key) of every passage found in `texts`."""
+        if not self.partitions:
+            return []
         get, ids, starts = self.vocabulary.get, [], [0]
         for text in texts:
             if text:
                 ids += [get(w, 0) for w in words_of(text)]
             ids.append(0)
             starts.append(len(ids))
-        ids = np.array(ids, np.int64)
+        ids, starts = np.array(ids, np.int64), np.array(starts)
         h = shingle_hashes(ids)
-        m = window_minhash(h, self.width)
-        if not len(m) or not len(self.minimum):
-            return []
-        at = np.flatnonzero(m)
-        lo = np.searchsorted(self.minimum, m[at])
-        hit = at[self.minimum[np.minimum(lo, len(self.minimum) - 1)] == m[at]]
-        if not len(hit):
+        pos = np.flatnonzero(self.known[h & np.uint64(len(self.known) - 1)])
+        pos = pos[self.hash[np.minimum(np.searchsorted(self.hash, h[pos]), len(self.hash) - 1)] == h[pos]]
+        if len(pos) < self.least:
             return []
-        # exact shingle containment: all shingles shared by the candidate pairs, in order
-        near = np.unique((hit[:, None] + np.arange(self.width)[None, :]).ravel())
-        first, last = np.searchsorted(self.hash, h[near], "left"), np.searchsorted(self.hash, h[near], "right")
-        pos = np.repeat(near, last - first)
-        which = self.owner[np.concatenate([np.arange(a, b) for a, b in zip(first, last, strict=True)])] if len(pos) else np.empty(0, np.int64)
         doc = np.searchsorted(starts, pos, "right") - 1
-        by = np.lexsort((pos, which, doc))
-        doc, which, pos = doc[by], which[by], pos[by]
+        pairs = self.candidates(doc, pos - starts[doc], h[pos])
+        # exact shingle containment: the shingles that the candidate pairs share, in order
+        at, which = self._owners(self.hash, self.owner, h[pos])
+        doc, pos = doc[at], pos[at]
+        pair = doc * len(self.items) + which
+        ok = np.isin(pair, pairs)
+        doc, which, pos, pair = doc[ok], which[ok], pos[ok], pair[ok]
+        by = np.lexsort((pos, pair))
+        doc, which, pos, pair = doc[by], which[by], pos[by], pair[by]
         reach = 3 * self.words
-        cut = np.flatnonzero((np.diff(doc) != 0) | (np.diff(which) != 0) | (np.diff(pos) > reach)) + 1
+        cut = np.flatnonzero((np.diff(pair) != 0) | (np.diff(pos) > reach)) + 1
         out = set()
         for seg in np.split(np.arange(len(pos)), cut):
-            if not len(seg):
+            if len(seg) < self.least:
                 continue
             d, k = int(doc[seg[0]]), int(which[seg[0]])
             key, item, places = self.items[k]
-            if (d, key) in out or len(seg) < self.width:
+            if (d, key) in out:
                 continue
-            a, b = max(starts[d], int(pos[seg[0]]) - reach), min(starts[d + 1], int(pos[seg[-1]]) + SHINGLE + reach)
+            a, b = max(int(starts[d]), int(pos[seg[0]]) - reach), min(int(starts[d + 1]), int(pos[seg[-1]]) + SHINGLE + reach)
             if self.passage(item, places, ids[a:b].tolist()):
                 out.add((d, key))
         return sorted(out)
 
 
-def find_leaks(docs: DataFrame, doc_id: str, doc_text: str, items: DataFrame, item_id: str, item_text: str, words: int = 20, per_edit: int = 8, block_items: int = BLOCK_ITEMS) -> DataFrame:
+def find_leaks(
+    docs: DataFrame, doc_id: str, doc_text: str, items: DataFrame, item_id: str, item_text: str, words: int = 20, per_edit: int = 8, block_items: int = BLOCK_ITEMS, block_chars: int = BLOCK_CHARS
+) -> DataFrame:
     """(doc, item): documents that hold at least `words` consecutive words of an item, at most one in `per_edit` changed.
 
-    Words are compared whatever their case, punctuation, markup, line layout, hyphenation or form of characters. MinHashes
-    of equally sized windows of both sides give the candidates (without loss, see ItemIndex); shared 5-word shingles and the
-    chain of shared words between them decide. Items are numbered in blocks of `block_items`, each block broadcast by itself
-    after its size is known; a document is only read, never shuffled, so hot sources or mirrored texts don't matter.
+    Words are compared whatever their case, punctuation, markup, line layout, hyphenation or form of characters; in scripts
+    without blanks between words every letter is a word. MinHash containment search over items partitioned by size gives the
+    candidates (see ItemIndex), exact containment of 5-word shingles and the chain of shared words decide. Items are
+    broadcast in blocks of at most about `block_items` items and `block_chars` characters (one block reads the documents
+    once; only larger item sets need further passes); a document is read, never shuffled, so hot sources or mirrored texts
+    don't matter.
 
-    Null or blank texts and ids give no rows; an item that recurs under several ids is reported under each. Repeated document
-    ids give one row. A document is searched whole. Equal column names and further columns don't matter. Empty inputs give no rows.
+    Null or blank texts and ids give no rows; an item that recurs under several ids is reported under each; an item too short
+    to leave `least` shingles unchanged is never found. Repeated document ids give one row. A document is searched whole.
+    Equal column names and further columns don't matter. Empty inputs give no rows.
     """
     spark = docs.sparkSession
     texts = docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(doc_text).cast("string").alias("text")).where(F.col("doc").isNotNull() & F.col("text").isNotNull())
     wanted = items.select(F.col(item_id).cast("long").alias("item"), F.col(item_text).cast("string").alias("text")).where(F.col("item").isNotNull() & F.col("text").isNotNull())
-    blocks = max(1, -(-wanted.count() // block_items))
+    n, chars = wanted.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
+    blocks = max(1, -(-n // block_items), -(-chars // block_chars))
     out = None
     for block in range(blocks):
         rows = wanted.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == block).orderBy("item").collect()

@@ -155,12 +155,48 @@ def test_leaks_find_planted_passages(spark):
     assert leaks.find_leaks(docs, "doc_id", "text", items.limit(0), "item_id", "text").count() == 0
 
 
-def test_every_allowed_passage_keeps_a_shared_window():
-    """The unchanged run that the windows rely on, for every passage length and worst placement of changes."""
+@pytest.mark.parametrize("text", ["这台仪器在校准之后记录了三百张谱图其中二十张没有峰所以过滤器把它们全部排除并写入日志文件", "この装置は校正のあとで三百枚のスペクトルを記録しそのうち二十枚にはピークがなかったので除外しました", "이 장치는 보정 후에 삼백 개의 스펙트럼을 기록했고 그 중 스무 개는 피크가 없어서 모두 제외되었으며 그 결과는 날마다 일지 파일에 적혀 있고 다시 검토할 수 있다 했다"])
+def test_leaks_in_other_scripts(spark, text):
+    tokens = text.split() if " " in text else list(text)
+    joint = " " if " " in text else ""
+    part, other = tokens[1:23], tokens[1:23]
+    other[9] = "X" if joint else "甲"
+    docs = [joint.join(part), "Note: " + joint.join(other) + " 。", "\n".join(part), joint.join(tokens[:12]), joint.join(tokens[::-1])]
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    got = leaks.find_leaks(df, "doc_id", "text", spark.createDataFrame([(1, text), (2, ITEM)], "item_id long, text string"), "item_id", "text")
+    assert {(r["doc"], r["item"]) for r in got.collect()} == {(0, 1), (1, 1), (2, 1)}
+
+
+def test_changed_words_at_the_ends_and_compounds():
     index = leaks.ItemIndex([(1, ITEM)], 20, 8)
-    for n in range(20, 200):
-        e = n // 8
-        assert -(-(n - e) // (e + 1)) >= index.width + leaks.SHINGLE - 1
+    w = WORDS[:50]
+    ends, three = ["zz", *w[11:29], "zz"], ["zz", "zz", *w[12:28], "zz"]
+    item = leaks.ItemIndex([(1, "aa/bb " * 2 + " ".join(w[:6]) + " cc/dd " + " ".join(w[6:12]) + " ee/ff " + " ".join(w[12:30]))], 20, 8)
+    assert [index.search([" ".join(x)]) for x in (ends, three)] == [[(0, 1)], []]
+    assert item.search([" ".join(w[:6]) + " zz/zz " + " ".join(w[6:12]) + " zz/zz " + " ".join(w[12:18])]) == [(0, 1)]
+
+
+def test_allowed_passages_leave_enough_shingles_and_are_candidates():
+    """The least count of unchanged shingles holds for every passage, and signatures find passages of every item size."""
+    rng = random.Random(5)
+    words = [f"v{i}" for i in range(3000)]
+    items = [(k, " ".join(rng.choices(words, k=n))) for k, n in enumerate([24, 30, 41, 60, 100, 140, 220, 300, 700, 2500] * 8)]
+    index = leaks.ItemIndex(items, 20, 8)
+    assert index.least == 5 and len(index.partitions) == 4
+    texts, want = [], set()
+    for k, text in items:
+        w = text.split()
+        for _ in range(4):
+            n = min(len(w), rng.choice([20, 23, 24, 31, 40]))
+            at = rng.randrange(len(w) - n + 1)
+            part = w[at : at + n]
+            for e in range(n // 8):
+                part[(e + 1) * n // (n // 8 + 1)] = "other" if rng.random() < 0.5 else rng.choice(words)
+            noise = rng.choices(words, k=rng.choice([0, 50, 400]))
+            cut = rng.randrange(len(noise) + 1)
+            want.add((len(texts), k))
+            texts.append(" ".join(noise[:cut] + part + noise[cut:]))
+    assert set(index.search(texts)) == want
 
 
 CLEAN = ["Größe über Köln für zwei Äpfel", "déjà vu à l’été, élève très âgé", "Проверка пустых спектров после калибровки", "señal más año período", "Δm was 3.0 ± 0.2 µL at 40 °C – twice “quoted”", "過濾器排除了空白光譜，共三筆。", "Ân Giang, hồ sơ mẫu số"] * 30
