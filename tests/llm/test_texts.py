@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
@@ -60,7 +61,7 @@ def test_top_n_equals_brute_force(spark, tmp_path):
     rng = random.Random(3)
     rows = [(1 if rng.random() < 0.4 else rng.randint(2, 40), rng.randint(1, 300), rng.choice([0.1, 0.5, 0.9, rng.random()]), "x") for _ in range(6000)]
     rows += [(None, 1, 0.5, ""), (3, None, 0.99, ""), (3, 7, None, ""), (3, 8, float("nan"), "")]
-    got = {(r["q"], r["item"], r["place"], r["score"]) for r in topn.top_n(spark.createDataFrame(rows, "q long, item long, score double, place string"), "q", "item", "score", 5, partitions=6).collect()}
+    got = {(r["q"], r["item"], r["place"], r["score"]) for r in topn.top_n(spark.createDataFrame(rows, "q long, item long, score double, place string"), "q", "item", "score", 5, partitions=6, block_bytes=4096).collect()}
     best = {}
     for q, i, s, _ in rows:
         if None not in (q, i, s) and s == s:
@@ -73,17 +74,57 @@ def test_top_n_equals_brute_force(spark, tmp_path):
     assert topn.top_n(spark.createDataFrame([], "q long, item long, score double"), "q", "item", "score", 5).count() == 0
 
 
-def test_row_groups_below_the_nth_score_are_skipped(tmp_path):
-    import pyarrow as pa
+def write_clustered(path, grp, score, item, rows):
+    by = np.lexsort((item, grp, -score, grp // topn.TOGETHER))
+    pq.write_table(pa.table({"grp": grp[by], "score": score[by], "item": item[by]}), path, row_group_size=rows)
+
 
+def test_row_groups_below_the_nth_score_are_skipped(tmp_path):
     n = 50_000
     score = np.sort(np.random.default_rng(1).random(n))[::-1]
     path = str(tmp_path / "hot.parquet")
-    pq.write_table(pa.table({"grp": np.full(n, 7), "score": score, "item": np.arange(n)}), path, row_group_size=1000)
+    write_clustered(path, np.full(n, 7), score, np.arange(n), 1000)
     (grp, s, item), read, skipped = topn.scan_file("file://" + path, 5)
     assert item.tolist() == [0, 1, 2, 3, 4] and read == 1 and skipped == 49
 
 
+def test_row_groups_of_several_groups_are_skipped(tmp_path):
+    """20 groups of 5,000 rows share every row group; one small group lies in a late one, which must be read."""
+    rng, n = np.random.default_rng(2), 100_000
+    grp, score, item = np.append(rng.integers(0, 20, n), [21, 21]), np.append(np.round(rng.random(n), 2), [0.3, 0.3]), np.append(rng.integers(0, 400, n), [5, 4])
+    path = str(tmp_path / "mixed.parquet")
+    write_clustered(path, grp, score, item, 1000)
+    (g, s, i), read, skipped = topn.scan_file("file://" + path, 5)
+    best = {}
+    for a, x, b in zip(grp.tolist(), score.tolist(), item.tolist(), strict=True):
+        best[a, b] = max(x, best.get((a, b), -1))
+    want = [(a, -x, b) for a in sorted(set(grp.tolist())) for x, b in sorted((-x, b) for (k, b), x in best.items() if k == a)[:5]]
+    assert list(zip(g.tolist(), s.tolist(), i.tolist(), strict=True)) == want
+    assert skipped > 60 and read + skipped == 101
+
+
+def test_merge_work_is_linear_in_rows(tmp_path):
+    """Rows that pass through the sorts of a merge, for groups of about 8 rows: twice the rows, about twice the work."""
+    work = []
+    for n in (50_000, 100_000, 200_000):
+        rng = np.random.default_rng(3)
+        path = str(tmp_path / f"{n}.parquet")
+        write_clustered(path, rng.integers(0, n // 8, n), rng.random(n), rng.integers(0, 10**6, n), 1000)
+        sorted_rows, lexsort = [0], np.lexsort
+
+        def counted(keys, sorted_rows=sorted_rows, lexsort=lexsort):
+            sorted_rows[0] += len(keys[0])
+            return lexsort(keys)
+
+        np.lexsort = counted
+        try:
+            topn.scan_file("file://" + path, 5)
+        finally:
+            np.lexsort = lexsort
+        work.append(sorted_rows[0])
+    assert work[1] < 2.3 * work[0] and work[2] < 2.3 * work[1]
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_packing_is_valid_and_tight(seed):
     rng = np.random.default_rng(seed)
