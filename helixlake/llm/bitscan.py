@@ -71,26 +71,29 @@ def survivors(a: np.ndarray, b: np.ndarray, limit: np.ndarray, z: float = Z):
     return i[keep], j[keep], d[keep]
 
 
-def nearest(ids: np.ndarray, vec: np.ndarray, k: int, limit: int, rows: int = 256, cols: int = 2048):
-    """Of every row, the k others of smallest distance (then smallest id) within `limit`: query index, other, distance.
+def nearest(q: np.ndarray, c: np.ndarray, k: int, limit: int, own: bool, rows: int = 256, cols: int = 2048):
+    """Of every row of `q`, the k rows of `c` of smallest distance (then smallest place) within `limit`: place in q, place in
+    c, distance. With `own`, both are the same rows and none is its own neighbour.
 
-    `ids` ascending and distinct. The columns are read in blocks; after each, a query's limit falls to its k-th best.
+    The columns are read in blocks; after each, a query's limit falls to its k-th best.
     """
-    n, out = len(ids), []
-    for r in range(0, n, rows):
-        q = vec[r : r + rows]
-        best = np.empty((len(q), 0), np.int64)
-        lim = np.full(len(q), limit, np.int64)
-        for c in range(0, n, cols):
-            i, j, d = survivors(q, vec[c : c + cols], lim)
-            ok = i + r != j + c
-            i, j, d = i[ok], j[ok] + c, d[ok]
+    n, out = len(c), []
+    for r in range(0, len(q), rows):
+        part = q[r : r + rows]
+        best = np.empty((len(part), 0), np.int64)
+        lim = np.full(len(part), limit, np.int64)
+        for at in range(0, n, cols):
+            i, j, d = survivors(part, c[at : at + cols], lim)
+            j = j + at
+            if own:
+                ok = i + r != j
+                i, j, d = i[ok], j[ok], d[ok]
             if not len(i):
                 continue
-            most = int(np.bincount(i, minlength=len(q)).max())
-            start = np.zeros(len(q) + 1, np.int64)
-            np.cumsum(np.bincount(i, minlength=len(q)), out=start[1:])
-            grid = np.full((len(q), best.shape[1] + most), np.iinfo(np.int64).max)
+            most = int(np.bincount(i, minlength=len(part)).max())
+            start = np.zeros(len(part) + 1, np.int64)
+            np.cumsum(np.bincount(i, minlength=len(part)), out=start[1:])
+            grid = np.full((len(part), best.shape[1] + most), np.iinfo(np.int64).max)
             grid[:, : best.shape[1]] = best
             grid[i, best.shape[1] + np.arange(len(i)) - start[i]] = d.astype(np.int64) * n + j
             if grid.shape[1] > k:
