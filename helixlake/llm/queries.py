@@ -34,6 +34,14 @@ def p2_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.agg(F.array_sort(F.collect_list(F.when(F.col("exemplar"), F.col("id")))).alias("exemplars"))
 
 
+def p2_stable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stable clusters inside the trees: cores of three, at least three members, divided down to 128 differing bits."""
+    spectra = table(spark, sf_dir, "encoded_spectra")
+    rows = density_clusters(spectra, "spectrum_id", "packed_hv", "spectrum.precursor_charge", "spectrum.precursor_mz", min_samples=3, min_size=3, epsilon=128)
+    rows = rows.groupBy("cluster", "size", "medoid", "total_distance", F.round("stability", 6).alias("stability"))
+    return rows.agg(F.array_sort(F.collect_list(F.when(F.col("exemplar"), F.col("id")))).alias("exemplars"))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes = table(spark, sf_dir, "graph_nodes")
     return split_points(nodes, "node_id", "seq", limit=2000, overlap=100, least=1000, gap="[Nn-]{10,}").withColumnRenamed("id", "node_id")
@@ -61,7 +69,7 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p8_restored(spark, sf_dir).select("doc_id")
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_clusters": p2_clusters, "p3_found": p3_found, "p5_found": p5_found, "p6_packed": p6_packed, "p7_found": p7_found, "p8_found": p8_found, "p8_restored": p8_restored}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_clusters": p2_clusters, "p2_stable": p2_stable, "p3_found": p3_found, "p5_found": p5_found, "p6_packed": p6_packed, "p7_found": p7_found, "p8_found": p8_found, "p8_restored": p8_restored}
 SQL: dict[str, str] = {
     "p5_found": """
 SELECT query_spectrum, library_spectrum FROM (
