@@ -263,5 +263,30 @@ def test_encoding_round_trip(spark):
     assert not got[2000]["restorable"] and got[1000]["restorable"]
 
 
+WESTERN = ["les données de la mesure sont là", "une requête très élevée", "für die Größe der Straße", "möglich über größere Mengen", "los años después del análisis", "señal y función de la posición", "não há opções além da função"]
+
+
+def test_western_text_read_with_another_western_encoding():
+    """One accented letter in a word of plain letters is enough for the model, whatever the pair of encodings."""
+    words = [w for t in CLEAN + WESTERN * 30 for w in encoding.tokens_of(t)]
+    grams = {}
+    for w in words:
+        for g in encoding.grams_of(w):
+            grams[g] = grams.get(g, 0) + 1
+    model = encoding.GramModel(grams)
+    margin = encoding.validated_margin(model, sorted(set(words)))
+    for right, wrong in (("cp1252", "cp850"), ("cp1252", "mac-roman"), ("mac-roman", "latin-1"), ("cp850", "cp1252")):
+        for w in ("données", "requête", "für", "Größe", "Straße", "möglich", "años", "señal", "função"):
+            bad = garbled(w, (wrong, right))
+            assert bad == w or encoding.repair(bad, model, margin)[:2] == (True, w), (w, bad)
+    assert not any(encoding.repair(w, model, margin)[0] for w in set(words))
+
+
+def test_clean_tokens_are_sampled_by_hash_whatever_the_layout(spark):
+    df = spark.createDataFrame([(f"wört{chr(97 + i % 26)}{chr(97 + i // 26)} é",) for i in range(400)], "text string")
+    got = [sorted(r["text"] for r in encoding.clean_tokens(df.repartition(n), 20).where("place IS NOT NULL").distinct().orderBy("place").limit(20).collect()) for n in (1, 7)]
+    assert got[0] == got[1] and len(got[0]) == 20 and any(w > "wörtm" for w in got[0])
+
+
 def test_encoding_of_nothing(spark):
     assert encoding.repair_encoding(spark.createDataFrame([], "doc_id long, text string"), "doc_id", "text").count() == 0
