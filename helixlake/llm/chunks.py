@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from helixlake.plans.lineage import materialise, new_path, remove
 
 
+#: White space of every script, as it is taken out of texts.
+WHITE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+
+
 def successors(starts: np.ndarray, ends: np.ndarray, n: int, limit: int, overlap: int, least: int) -> tuple[np.ndarray, np.ndarray]:
     """For every start: forced cuts before the next natural one, and the boundary that one ends at (-1: the text's end).
 
@@ -53,19 +57,23 @@ def split_points(df: DataFrame, id_col: str, text_col: str, limit: int, overlap:
     if not 0 <= overlap < least <= limit:
         raise ValueError("need 0 <= overlap < least <= limit")
     spark, stride = df.sparkSession, limit - overlap
-    bare = F.regexp_replace(F.col(text_col), r"[\s\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+", "")
-    long = df.select(F.col(id_col).alias("id"), bare.alias("t")).where(F.col("id").isNotNull() & (F.length("t") > limit))
+    # white space only shortens a text, so most are left out by their length before anything is read of them
+    long = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).where(F.col("id").isNotNull() & (F.length("t") > limit))
     kind = dict(long.dtypes)["id"]
 
     def find_ends(batches):
         pattern = re.compile(gap)
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            ends = [[m.end() for m in pattern.finditer(t)] for t in texts]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(len, texts), pa.int64()), pa.array(ends, pa.list_(pa.int64()))], names=["id", "n", "ends"])
+            keep, sizes, ends = [], [], []
+            for i, text in enumerate(batch.column(1).to_pylist()):
+                text = WHITE.sub("", text)
+                if len(text) > limit:
+                    keep.append(i), sizes.append(len(text)), ends.append([m.end() for m in pattern.finditer(text)])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int64())), pa.array(sizes, pa.int64()), pa.array(ends, pa.list_(pa.int64()))], names=["id", "n", "ends"])
 
     found = long.mapInArrow(find_ends, f"id {kind}, n long, ends array<long>")
-    items = materialise(found.groupBy("id").agg(F.max(F.struct("n", "ends")).alias("m")).select("id", "m.n", "m.ends"), "items")
+    items_path = new_path(spark, "items")
+    items = materialise(found.groupBy("id").agg(F.max(F.struct("n", "ends")).alias("m")).select("id", "m.n", "m.ends"), "items", items_path)
 
     def link(batches):
         for batch in batches:
@@ -79,18 +87,21 @@ def split_points(df: DataFrame, id_col: str, text_col: str, limit: int, overlap:
                 )
 
     links = materialise(items.mapInArrow(link, f"id {kind}, s long, n long, k long, e long, next long"), "links")
+    remove(spark, items_path)
 
-    reached = links.where("s = 0").select("id", "s")
+    reached, reached_path = links.where("s = 0").select("id", "s"), None
     jump_path = new_path(spark, "jump")
     jump = materialise(links.where("next IS NOT NULL").select("id", "s", "next"), "jump", jump_path)
-    while jump.limit(1).count():
+    while not jump.isEmpty():
         step = reached.join(jump, ["id", "s"]).select("id", F.col("next").alias("s"))
-        reached = materialise(reached.unionByName(step).distinct(), "reached")
+        grown_path = new_path(spark, "reached")
+        reached = materialise(reached.unionByName(step).distinct(), "reached", grown_path)
         far = jump.select("id", F.col("s").alias("next"), F.col("next").alias("far"))
         nxt_path = new_path(spark, "jump")
         nxt = materialise(jump.join(far, ["id", "next"]).select("id", "s", F.col("far").alias("next")), "jump", nxt_path)
-        remove(spark, jump_path)
-        jump, jump_path = nxt, nxt_path
+        remove(spark, jump_path, *([reached_path] if reached_path else []))
+        jump, jump_path, reached_path = nxt, nxt_path, grown_path
+    remove(spark, jump_path)
     rows = links.join(reached, ["id", "s"])
     pieces = rows.select("id", "n", "s", "k", "e", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k"))).alias("i"))
     start = F.col("s") + F.col("i") * stride
