@@ -2,9 +2,11 @@
 
 import base64
 import bisect
+import os
 
 import numpy as np
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,8 +15,10 @@ from helixlake.plans.lineage import materialise
 # Fixed value: the split pattern of the public byte-level BPE vocabulary.
 SPLIT_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 TOKENIZER_FILE = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-#: Items are numbered within their size in this many hash buckets, so that a size that most rows share isn't one task's work.
-RANK_BUCKETS = 64
+#: Items of one size are numbered in hash buckets of about this many, so that a size that most rows share isn't one task's work.
+BUCKET_ROWS = 100_000
+#: Rows up to which the tables of flows and of bucket offsets are broadcast; beyond, they are joined by size.
+BROADCAST_ROWS = 200_000
 
 
 def load_tokenizer(path: str = TOKENIZER_FILE):
@@ -182,10 +186,10 @@ def pack_histogram(counts: dict[int, int], capacity: int, groups: int = 24, larg
     return flows, made
 
 
-def pack_texts(df: DataFrame, id_col: str, text_col: str, capacity: int = 2048, tokenizer_file: str = TOKENIZER_FILE, groups: int = 24) -> DataFrame:
+def pack_texts(df: DataFrame, id_col: str, text_col: str, capacity: int = 2048, tokenizer_file: str = TOKENIZER_FILE, groups: int = 24, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """(id, piece, token_start, token_end, n_tokens, container): the container of every text or piece of a text.
 
-    Texts are counted in tokens of the vocabulary in `tokenizer_file`; only texts above `capacity` are cut, into pieces of
+    Texts are counted in tokens of the vocabulary in `tokenizer_file`, which the driver sends to the executors; only texts above `capacity` are cut, into pieces of
     exactly `capacity` tokens and a rest. The driver sees the number of items of each size (at most `capacity` numbers) and
     returns flows of ranks; every item is numbered within its size and placed by its flow. No container is exceeded.
 
@@ -193,9 +197,11 @@ def pack_texts(df: DataFrame, id_col: str, text_col: str, capacity: int = 2048,
     id is placed as often as it occurs. Other columns are dropped first. An empty input gives no rows.
     """
     spark = df.sparkSession
+    spark.sparkContext.addFile(tokenizer_file)
+    file_name = os.path.basename(tokenizer_file)
 
     def tokens(batches):
-        tokenizer = load_tokenizer(tokenizer_file)
+        tokenizer = load_tokenizer(SparkFiles.get(file_name))
         for batch in batches:
             ids, pieces, sizes = [], [], []
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -205,19 +211,20 @@ def pack_texts(df: DataFrame, id_col: str, text_col: str, capacity: int = 2048,
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(pieces, pa.int32()), pa.array(sizes, pa.int32())], names=["id", "piece", "size"])
 
     items = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(tokens, "id long, piece int, size int")
-    items = materialise(items, "pieces").withColumn("bucket", F.pmod(F.xxhash64("id", "piece"), F.lit(RANK_BUCKETS)).cast("int"))
-    filled = items.where("size > 0")
-    cells = filled.groupBy("size", "bucket").agg(F.count(F.lit(1)).alias("n"))
-    cells = materialise(cells, "cells")
-    counts = {r["size"]: r["n"] for r in cells.groupBy("size").agg(F.sum("n").alias("n")).collect()}
+    items = materialise(items, "pieces")
+    counts = {r["size"]: r["n"] for r in items.where("size > 0").groupBy("size").agg(F.count(F.lit(1)).alias("n")).collect()}
     flows, _ = pack_histogram(counts, capacity, groups)
-    # Both tables are bounded by the capacity, whatever the number of texts: some thousand rows.
-    flow = spark.createDataFrame(pa.table(dict(zip(("size", "lo", "hi", "base", "each"), (pa.array(x, pa.int64()) for x in zip(*flows, strict=True)), strict=True)))) if flows else spark.createDataFrame([], "size long, lo long, hi long, base long, each long")
+    columns = zip(*flows, strict=True) if flows else [[]] * 5
+    flow = spark.createDataFrame(pa.table(dict(zip(("size", "lo", "hi", "base", "each"), (pa.array(x, pa.int64()) for x in columns), strict=True))))
+    parts = spark.createDataFrame(pa.table({"size": pa.array(counts, pa.int32()), "parts": pa.array([-(-n // bucket_rows) for n in counts.values()], pa.int64())}))
+    # a size of many items in hash buckets: each bucket is numbered by itself and begins where those before it end
+    filled = items.where("size > 0").join(F.broadcast(parts), "size").withColumn("bucket", F.pmod(F.xxhash64("id", "piece"), F.col("parts")))
     before = F.sum("n").over(Window.partitionBy("size").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = cells.select("size", "bucket", F.coalesce(before, F.lit(0)).alias("before"))
+    offsets = filled.where("parts > 1").groupBy("size", "bucket").agg(F.count(F.lit(1)).alias("n")).select("size", "bucket", F.coalesce(before, F.lit(0)).alias("before"))
+    small = lambda table, rows: F.broadcast(table) if rows <= BROADCAST_ROWS else table
     place = F.row_number().over(Window.partitionBy("size", "bucket").orderBy("id", "piece"))
-    ranked = filled.withColumn("place", place).join(F.broadcast(offsets), ["size", "bucket"]).withColumn("rank", F.col("before") + F.col("place") - 1)
-    put = ranked.join(F.broadcast(flow), (ranked["size"] == flow["size"]) & (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi")))
+    ranked = filled.withColumn("place", place).join(small(offsets, sum(counts.values()) // bucket_rows), ["size", "bucket"], "left").withColumn("rank", F.coalesce("before", F.lit(0)) + F.col("place") - 1)
+    put = ranked.join(small(flow, len(flows)), (ranked["size"] == flow["size"]) & (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi")))
     put = put.select("id", "piece", ranked["size"].alias("size"), (F.col("base") + F.floor((F.col("rank") - F.col("lo")) / F.col("each"))).cast("long").alias("container"))
     rows = put.unionByName(items.where("size = 0").select("id", "piece", "size", F.lit(None).cast("long").alias("container")))
     start = F.col("piece").cast("long") * capacity

@@ -160,6 +160,11 @@ def test_packed_texts(spark):
         assert (r["container"] is None) == (r["n_tokens"] == 0)
         load[r["container"]] = load.get(r["container"], 0) + r["n_tokens"]
     assert max(load.values()) <= 2048
+    again = packing.pack_texts(df, "doc_id", "text", bucket_rows=7).collect()
+    used: dict = {}
+    for r in again:
+        used[r["container"]] = used.get(r["container"], 0) + r["n_tokens"]
+    assert len(again) == len(rows) and max(used.values()) <= 2048 and len(used) == len(load)
     assert packing.pack_texts(df.limit(0), "doc_id", "text").count() == 0
 
 
