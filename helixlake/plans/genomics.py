@@ -4,8 +4,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from helixlake.functions import scalars
-from helixlake.operators import ordered, sequences, warehouse
+from helixlake.operators import mapping, ordered, sequences, warehouse
 from helixlake.operators.heavykeys import canonical_kmer, canonical_node
+from helixlake.plans.lineage import materialise
 from helixlake.sources.tables import table
 
 K, W = 15, 10
@@ -91,16 +92,62 @@ def link_scores(spark, d):
 
 def path_transitions(spark, d):
     """Node switches and tier hops along every read; a node's tier is its hotness rank over 8 tiers."""
-    h = hits(spark, d).where("read_id IS NOT NULL AND node_id IS NOT NULL")
-    t = node_tiers(spark, d).select("node_id", "tier")
+    # written once: cleaned and told apart for the tiers, their number and the paths
+    h = materialise(_placed(spark, d).select("hit_id", "read_id", "query_pos", "node_id"), "placed-hits")
+    t = _tiers(h).select("node_id", "tier")
     return ordered.transitions(h.join(t, "node_id"), "read_id", ["query_pos", "hit_id"], "node_id", "tier")
 
 
 def node_tiers(spark, d):
-    counts = hits(spark, d).where("node_id IS NOT NULL AND read_id IS NOT NULL").groupBy("node_id").agg(F.count(F.lit(1)).alias("hits"))
+    return _tiers(_placed(spark, d))
+
+
+def _placed(spark, d):
+    return hits(spark, d).where("node_id IS NOT NULL AND read_id IS NOT NULL")
+
+
+def _tiers(placed):
+    counts = materialise(placed.groupBy("node_id").agg(F.count(F.lit(1)).alias("hits")), "node-hits")
     return ordered.rank_tiers(counts, [F.desc("hits"), F.col("node_id")], 8)
 
 
+def read_chains(spark, d):
+    """The best chain of every read's placed hits; the number in a node's name is its place along the reference."""
+    h = _placed(spark, d).select("read_id", "query_pos", "node_id", "node_pos", F.regexp_extract("node_id", r"(\d+)", 1).try_cast("long").alias("rank"))
+    return mapping.read_chains(h, "read_id", "query_pos", "node_id", "node_pos", "rank", K).select("read_id", "anchors", F.round("score", 4).alias("score"))
+
+
+def edge_alignments(spark, d):
+    """For every node of a number divisible by 50: its sequence and its first successor's as one read, mapped to the subgraph of
+    nodes up to two edges on. Tested against brute force."""
+    n = nodes(spark, d).where("seq IS NOT NULL").select("node_id", "seq")
+    e = sequences.clean_edges(table(spark, d, "graph_nodes"), "node_id", "out_edges")
+    start = n.where(F.regexp_extract("node_id", r"(\d+)", 1).try_cast("long") % 50 == 0)
+    first = e.groupBy(F.col("source").alias("node_id")).agg(F.min("target").alias("next")).join(n.select(F.col("node_id").alias("next"), F.col("seq").alias("then")), "next")
+    reads = start.join(first, "node_id").select(F.col("node_id").alias("read_id"), F.concat("seq", "then").alias("read_seq"))
+    one = reads.select("read_id", F.col("read_id").alias("node_id"))
+    step = lambda near: near.join(e, F.col("node_id") == F.col("source")).select("read_id", F.col("target").alias("node_id"))
+    two = step(one)
+    near = one.unionByName(two).unionByName(step(two)).distinct()
+    return mapping.align_local(reads, "read_id", "read_seq", near, n, "node_id", "seq", e, 11, 5, 64)
+
+
+def node_slices(spark, d):
+    """Slices of 100 bases at fixed starts of every long node, with their digests and the bytes of their packed copies."""
+    s = nodes(spark, d).where("length(seq) >= 2000").select("node_id", "seq")
+    return sequences.slices(s, "node_id", "seq", [0, 500, 1900], 100).select("node_id", "start", "end", F.sha2("slice", 256).alias("digest"), sequences.packed_bytes(F.lit(1), F.lit(150), F.col("end") - F.col("start")).alias("bytes"))
+
+
+def graph_order_check(spark, d):
+    """Nodes, nodes with a rank, edges between such, and edges that run against the order (none may)."""
+    n = table(spark, d, "graph_nodes").select("node_id", "out_edges")
+    e = sequences.clean_edges(n, "node_id", "out_edges")
+    r = materialise(sequences.topological_order(n, e, "node_id"), "ranks")
+    a, b = r.select(F.col("node").alias("source"), F.col("rank").alias("a")), r.select(F.col("node").alias("target"), F.col("rank").alias("b"))
+    both = e.join(a, "source").join(b, "target").where("a IS NOT NULL AND b IS NOT NULL").agg(F.count(F.lit(1)).alias("edges"), F.count(F.when(F.col("a") >= F.col("b"), 1)).alias("against"))
+    return r.agg(F.count(F.lit(1)).alias("nodes"), F.count("rank").alias("ranked"), F.countDistinct("rank").alias("ranks")).join(F.broadcast(both))
+
+
 def length_histogram(spark, d):
     return nodes(spark, d).where("seq IS NOT NULL").groupBy(F.length("seq").alias("length")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("seq")).alias("bases"))
 
@@ -143,7 +190,7 @@ def routed_texts(spark, d):
     return r.select("node_id", "target", "strand", F.md5("oriented").alias("oriented_md5"))
 
 
-QUERIES = {f.__name__: f for f in (kmer_counts, minimizers, anchor_join, reverse_complements, linear_graph, graph_degrees, graph_order, graph_hops, link_scores, path_transitions, node_tiers, length_histogram, minimizer_settings, cigar_spans, flag_counters, mapping_accuracy, routed_texts)}
+QUERIES = {f.__name__: f for f in (kmer_counts, minimizers, anchor_join, reverse_complements, linear_graph, graph_degrees, graph_order, graph_order_check, graph_hops, link_scores, read_chains, edge_alignments, node_slices, path_transitions, node_tiers, length_histogram, minimizer_settings, cigar_spans, flag_counters, mapping_accuracy, routed_texts)}
 
 _TIERS = READ_HITS + ", tiers AS (SELECT node_id, n AS hits, floor((row_number() OVER (ORDER BY n DESC, node_id) - 1) * 8 / count(*) OVER ())::BIGINT AS tier FROM (SELECT node_id, count(*) AS n FROM hits WHERE node_id IS NOT NULL AND read_id IS NOT NULL GROUP BY 1))"
 _EDGES = "edges AS (SELECT DISTINCT source, target FROM (SELECT node_id AS source, unnest(out_edges) AS target FROM graph_nodes) WHERE target IN (SELECT node_id FROM graph_nodes))"
@@ -159,6 +206,15 @@ SELECT read_id, count(*) AS anchors, count(DISTINCT node_id) AS nodes, min(query
 SELECT origin, node, min(hops)::INT AS hops FROM r GROUP BY ALL""",
     "link_scores": f"""WITH {READ_HITS}, p AS (SELECT hit_id, node_id, query_pos, node_pos, lag(node_id) OVER w AS pn, lag(query_pos) OVER w AS pq, lag(node_pos) OVER w AS pp FROM hits WHERE read_id IS NOT NULL AND node_id IS NOT NULL WINDOW w AS (PARTITION BY read_id ORDER BY query_pos, hit_id))
 SELECT hit_id, round(CASE WHEN query_pos < pq THEN NULL WHEN node_id = pn THEN CASE WHEN node_pos >= pp THEN {K} - 0.5::DOUBLE * abs(query_pos - pq - node_pos + pp) END ELSE {K} - 0.8::DOUBLE * abs(query_pos - pq - {K}) - 0.2::DOUBLE END, 4) AS link FROM p WHERE pn IS NOT NULL""",
+    "read_chains": f"""WITH RECURSIVE {READ_HITS}, a AS (SELECT DISTINCT read_id, query_pos::BIGINT AS q, node_id AS n, node_pos::BIGINT AS p, coalesce(try_cast(regexp_extract(node_id, '(\\d+)', 1) AS BIGINT), -1) AS k FROM hits WHERE read_id IS NOT NULL AND node_id IS NOT NULL AND query_pos IS NOT NULL AND node_pos IS NOT NULL),
+l AS (SELECT read_id, list({{'q': q, 'n': n, 'p': p, 'k': k}} ORDER BY q, CASE WHEN k < 0 THEN 9e18 ELSE k END, p, n) AS x FROM a GROUP BY 1),
+r AS (SELECT read_id, x, 1 AS i, [{K}::DOUBLE] AS t FROM l UNION ALL
+  SELECT read_id, x, i + 1, list_append(t, greatest({K}::DOUBLE, coalesce(list_max(list_transform(range(greatest(1, i + 1 - 256), i + 1), lambda j: CASE WHEN x[i + 1].q < x[j].q THEN NULL
+    WHEN x[i + 1].n = x[j].n THEN CASE WHEN x[i + 1].p >= x[j].p THEN t[j] + {K} - 0.5::DOUBLE * abs(x[i + 1].q - x[j].q - x[i + 1].p + x[j].p) END
+    WHEN x[j].k >= 0 AND x[i + 1].k >= x[j].k THEN t[j] + {K} - 0.8::DOUBLE * abs(x[i + 1].q - x[j].q - greatest(1, x[i + 1].k - x[j].k) * {K}) - 0.2::DOUBLE * greatest(1, x[i + 1].k - x[j].k) END)), {K}::DOUBLE))) FROM r WHERE i < len(x))
+SELECT read_id, len(x)::BIGINT AS anchors, round(list_max(t), 4) AS score FROM r WHERE i = len(x)""",
+    "node_slices": f"""WITH {NODES} SELECT node_id, s AS start, s + 100 AS "end", sha256(substr(seq, s::INT + 1, 100)) AS digest, (19 * 4 + (100 // 32 + 1) * 4 + 4 + (100 // 8 + 1) * 4 + 12)::BIGINT AS bytes FROM nodes, (SELECT unnest([0::BIGINT, 500, 1900]) AS s) WHERE length(seq) >= 2000""",
+    "graph_order_check": f"WITH {_EDGES} SELECT (SELECT count(DISTINCT node_id) FROM graph_nodes) AS nodes, (SELECT count(DISTINCT node_id) FROM graph_nodes) AS ranked, (SELECT count(DISTINCT node_id) FROM graph_nodes) AS ranks, count(*) AS edges, 0::BIGINT AS against FROM edges",
     "path_transitions": f"""WITH {_TIERS}, s AS (SELECT read_id, node_id, tier, lag(node_id) OVER w AS pn, lag(tier) OVER w AS pt FROM hits JOIN tiers USING (node_id) WHERE read_id IS NOT NULL WINDOW w AS (PARTITION BY read_id ORDER BY query_pos, hit_id))
 SELECT read_id, count(*) AS steps, sum(CASE WHEN node_id <> pn THEN 1 ELSE 0 END)::BIGINT AS switches, sum(abs(tier - pt))::BIGINT AS hops FROM s WHERE pn IS NOT NULL GROUP BY 1""",
     "node_tiers": f"WITH {_TIERS} SELECT * FROM tiers",
