@@ -1,11 +1,18 @@
 """Readers of tables, search output, run logs, traces and settings."""
 
 import configparser
+import itertools
 import json
+import re
+from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# Units in the heads of a profiler's report, and the two ways it writes the direction of a copy.
+BYTE_UNITS = (("B", 1.0), ("KB", 1e3), ("MB", 1e6), ("GB", 1e9), ("KiB", 2.0**10), ("MiB", 2.0**20), ("GiB", 2.0**30))
+DIRECTIONS = (("htod", "host-to-device"), ("dtoh", "device-to-host"), ("dtod", "device-to-device"))
 SEARCH_COLUMNS = "query_idx int, query_charge int, library_id long, library_charge int, score double"
 
 
@@ -71,14 +78,54 @@ def read_time_log(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(F.input_file_name().alias("file"), *fields, F.when(clock != "", elapsed_seconds(clock)).alias("elapsed_s"))
 
 
+def _tables(text: str):
+    """(table, row, head, value) of the tables in a text: a line of heads, one of dashes that shows where columns begin and
+    end, then rows up to a blank line."""
+    lines, table = text.splitlines(), 0
+    for i in range(1, len(lines)):
+        if re.fullmatch(r"\s*-+(\s+-+)*\s*", lines[i]) and lines[i - 1].strip():
+            cells = [m.span() for m in re.finditer(r"-+", lines[i])]
+            heads = [lines[i - 1][a:b].strip() for a, b in cells]
+            for row, line in enumerate(itertools.takewhile(str.strip, lines[i + 1 :])):
+                for n, ((a, b), head) in enumerate(zip(cells, heads, strict=True)):
+                    yield table, row, head, (line[a:] if n == len(cells) - 1 else line[a:b]).strip()
+            table += 1
+
+
+def read_profile_tables(spark: SparkSession, path: str) -> DataFrame:
+    """(file, table, row, head, value) of the tables in a profiler's text report; a report is read whole by one task."""
+
+    def parse(parts):
+        for pdf in parts:
+            for file, text in zip(pdf["file"], pdf["value"], strict=True):
+                yield pd.DataFrame([(file, *cell) for cell in _tables(text)], columns=["file", "table", "row", "head", "value"])
+
+    raw = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
+    return raw.mapInPandas(parse, "file string, table int, row int, head string, value string")
+
+
+def _by_name(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """Rows of the tables that have the column `name`: (name, copies, bytes, time_ns); what a table doesn't have is null."""
+    cells = read_profile_tables(spark, path).withColumn("n", F.regexp_replace("value", ",", "").try_cast("double"))
+    unit = reduce(lambda e, u: e.when(F.col("head").contains(f"({u[0]})"), u[1]), BYTE_UNITS[1:], F.when(F.col("head").contains(f"({BYTE_UNITS[0][0]})"), BYTE_UNITS[0][1]))
+    only = lambda c, v: F.max(F.when(c, v))
+    head = F.col("head")
+    rows = cells.groupBy("file", "table", "row").agg(only(head == name, F.col("value")).alias("name"), only(head.isin("Count", "Instances"), F.col("n")).alias("copies"), only(head.rlike(r"^Total \(.?i?B\)$"), F.col("n") * unit).alias("bytes"), only(head == "Total Time (ns)", F.col("n")).alias("time_ns"))
+    return rows.where("name IS NOT NULL")
+
+
 def read_copy_summary(spark: SparkSession, path: str) -> DataFrame:
-    """(direction, copies, bytes, time_ns) summed from a profiler's text: the first number is the time, the last above 1,024
-    the bytes. A guess by form; the trace tables are the better source (`copy_trace`)."""
-    raw = spark.read.text(path).where(F.lower("value").rlike("htod|dtoh|dtod"))
-    numbers = F.transform(F.regexp_extract_all("value", F.lit(r"(?<![A-Za-z0-9.])([0-9][0-9,]*(?:\.[0-9]+)?)"), F.lit(1)), lambda x: F.regexp_replace(x, ",", "").cast("double"))
-    large = F.filter(numbers, lambda x: x > 1024)
-    rows = raw.select(F.upper(F.regexp_extract(F.lower("value"), "(htod|dtoh|dtod)", 1)).alias("direction"), F.get(numbers, 0).alias("t"), F.when(F.size(large) > 0, F.element_at(large, -1)).alias("b"))
-    return rows.groupBy("direction").agg(F.count(F.lit(1)).alias("copies"), F.sum("b").alias("bytes"), F.sum("t").alias("time_ns"))
+    """(direction, copies, bytes, time_ns) of the copies in a profiler's report, columns told by their heads (`Operation`, `Total
+    Time (ns)`, `Total (MB)`, `Count`). Times and sizes stand in tables of their own and are put together."""
+    named = lambda short, long: F.when(F.lower("name").contains(short) | F.lower("name").contains(long), short.upper())
+    rows = _by_name(spark, path, "Operation").withColumn("direction", F.coalesce(*(named(*d) for d in DIRECTIONS)))
+    return rows.where("direction IS NOT NULL").groupBy("direction").agg(F.max("copies").cast("long").alias("copies"), F.sum("bytes").alias("bytes"), F.sum("time_ns").alias("time_ns"))
+
+
+def read_kernel_times(spark: SparkSession, path: str) -> DataFrame:
+    """(kernel, calls, time_ns) of the kernels in a profiler's report."""
+    rows = _by_name(spark, path, "Name").where("time_ns IS NOT NULL")
+    return rows.groupBy(F.col("name").alias("kernel")).agg(F.sum("copies").cast("long").alias("calls"), F.sum("time_ns").alias("time_ns"))
 
 
 def read_kernel_csv(spark: SparkSession, path: str, metric: str, value: str) -> DataFrame:

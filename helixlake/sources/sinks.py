@@ -1,10 +1,12 @@
 """Writers: result tables as text, spectra, sequences, and reports."""
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from helixlake.functions.scalars import natural_key
-from helixlake.operators.ordered import numbered
+from helixlake.operators.ordered import numbered, running_total
 
 
 def write_lines(df: DataFrame, path: str, line: Column, order: list[Column] | None = None, one_file: bool = False) -> None:
@@ -63,6 +65,23 @@ def fastq_line(name: Column, seq: Column, quality: Column) -> Column:
     return F.concat(F.lit("@"), name, F.lit("\n"), seq, F.lit("\n+\n"), quality)
 
 
+def graph_array_lines(nodes: DataFrame, vertex: str, label: str, edges: DataFrame, source: str, target: str) -> DataFrame:
+    """(section, place, other, value): the lines of a graph as sparse arrays, in that order (see `read_graph_arrays`).
+
+    Vertices are numbered from 0 without gaps; null labels and those other than A, C, G, T are written as N.
+    """
+    line = lambda df, section, place, other, value: df.select(F.lit(section).alias("section"), place.cast("long").alias("place"), other.cast("long").alias("other"), value.cast("string").alias("value"))
+    totals = nodes.agg(F.count(F.lit(1)).alias("v")).join(F.broadcast(edges.agg(F.count(F.lit(1)).alias("e"))))
+    parts = [line(totals, 0, F.lit(0), F.lit(0), F.concat_ws(" ", "v", "e"))]
+    for section, by, other in ((1, target, source), (3, source, target)):
+        parts.append(line(edges, section, F.col(by), F.col(other), F.col(other)))
+        degrees = nodes.select(F.col(vertex).alias("_v")).join(edges.groupBy(F.col(by).alias("_v")).agg(F.count(F.lit(1)).alias("_d")), "_v", "left")
+        parts.append(line(totals, section + 1, F.lit(-1), F.lit(0), F.lit(0)))
+        parts.append(line(running_total(degrees, [F.col("_v")], F.col("_d"), "_b"), section + 1, F.col("_v"), F.lit(0), F.col("_b") + F.coalesce("_d", F.lit(0))))
+    parts.append(line(nodes, 5, F.col(vertex), F.lit(0), F.when(F.col(label).isin("A", "C", "G", "T"), F.col(label)).otherwise("N")))
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
 def paf_columns(df: DataFrame, end: str, length: str, score: str) -> DataFrame:
     """Start and matches that a mapping's end, length and score imply."""
     return df.withColumn("start", F.greatest(F.lit(0), F.col(end) - F.col(length))).withColumn("matches", F.least(F.col(length), F.greatest(F.lit(0), F.floor(F.col(score) / 2))))
