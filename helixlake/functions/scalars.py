@@ -1,5 +1,7 @@
 """Scalar column functions: charges, ids, labels, sequences, alignments, percentages and display forms."""
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -100,29 +102,43 @@ def integer_tag(tags: Column, name: str) -> Column:
 
 
 def rounded_key(charge: Column, time: Column, mz: Column) -> Column:
-    """(charge, time * 100, m/z * 1000), halves to even, as one comparable string; null if a part is null."""
-    return F.concat_ws("|", F.coalesce(charge, F.lit(0)).cast("string"), F.rint(time * 100).cast("long").cast("string"), F.rint(mz * 1000).cast("long").cast("string"))
+    """(charge, time * 100, m/z * 1000), halves to even, as one comparable string; an unknown charge counts as 0, and the key is
+    null if time or m/z is null."""
+    bar = F.lit("|")
+    return F.concat(F.coalesce(charge, F.lit(0)).cast("string"), bar, F.rint(time * 100).cast("long").cast("string"), bar, F.rint(mz * 1000).cast("long").cast("string"))
 
 
 def humanised_seconds(s: Column) -> Column:
-    return (
-        F.when(s < 1e-3, F.format_string("%.1f us", s * 1e6))
-        .when(s < 1, F.format_string("%.1f ms", s * 1e3))
-        .when(s < 120, F.format_string("%.1f s", s))
-        .when(s < 7200, F.format_string("%.1f min", s / 60))
-        .otherwise(F.format_string("%.1f h", s / 3600))
-    )
+    """Two decimals (halves to even) in seconds, from 60 in minutes, from 3,600 in hours, from 86,400 in days."""
+    form = lambda unit, seconds: F.format_string(f"%.2f {unit}", F.bround(s / seconds, 2))
+    return F.when(s >= 86_400, form("days", 86_400)).when(s >= 3600, form("h", 3600)).when(s >= 60, form("min", 60)).otherwise(form("s", 1))
 
 
 def humanised_bytes(b: Column) -> Column:
-    """Powers of 1,000."""
-    return F.when(b < 1e3, F.format_string("%.0f B", b)).when(b < 1e6, F.format_string("%.1f kB", b / 1e3)).when(b < 1e9, F.format_string("%.1f MB", b / 1e6)).otherwise(F.format_string("%.2f GB", b / 1e9))
-
-
-def stream_digest(df: DataFrame, by: list[str], order: str, value: str, out: str = "digest") -> DataFrame:
-    """SHA-256 of the values in `order`, by group: each value's hash is taken first, so that groups stay small."""
-    hashed = df.select(*by, F.struct(F.col(order).alias("o"), F.sha2(F.coalesce(F.col(value).cast("string"), F.lit("")), 256).alias("h")).alias("s"))
-    return hashed.groupBy(*by).agg(F.sha2(F.concat_ws("\n", F.transform(F.array_sort(F.collect_list("s")), lambda x: x["h"])), 256).alias(out))
+    """Whole bytes with commas between thousands."""
+    return F.format_number(b, 0)
+
+
+def stream_digest(df: DataFrame, by: list[str], order: str, value: str, out: str = "digest", block: int = 4096) -> DataFrame:
+    """SHA-256 of the values in `order`, by group: over the hashes of the values, one a line.
+
+    Groups of any size: the rows are numbered in their order without a window over a group, and a group of more than `block`
+    rows is digested block by block, then the digests of its blocks in their order, until one is left.
+    """
+    from helixlake.operators.ordered import numbered
+
+    hashed = df.select(*by, F.col(order).alias("_o"), F.sha2(F.coalesce(F.col(value).cast("string"), F.lit("")), 256).alias("_h"))
+    rows = numbered(hashed, [*(F.col(c) for c in by), F.col("_o"), F.col("_h")], "_i")
+    # `by` may be null, which a join on equality would lose
+    first = rows.groupBy(*by).agg(F.min("_i").alias("_f"), F.count(F.lit(1)).alias("_n")).toDF(*(f"_k{i}" for i in range(len(by))), "_f", "_n")
+    same = reduce(lambda p, q: p & q, (F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(by)))
+    most = first.agg(F.max("_n")).first()[0] or 0
+    state = rows.join(first, same).select(*by, (F.col("_i") - F.col("_f")).alias("_i"), "_h")
+    while True:
+        state = state.groupBy(*by, F.floor(F.col("_i") / block).alias("_i")).agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_i", "_h"))), lambda x: x["_h"]), "\n"), 256).alias("_h"))
+        most = -(-most // block)
+        if most <= 1:
+            return state.select(*by, F.col("_h").alias(out))
 
 
 def natural_key(text: Column) -> Column:

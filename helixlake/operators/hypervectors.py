@@ -11,46 +11,42 @@ from pyspark.sql import functions as F
 QUERY_BLOCK = 20_000
 
 
+def _flip_walk(rows: int, dim: int, step: int, rng: np.random.Generator) -> np.ndarray:
+    """(rows, dim) bits of a walk: from a random vector, every row turns the next `step` positions of a random order that
+    starts anew at its end. A position of place r in the order has been turned ceil((i * step - r) / dim) times in row i."""
+    place = np.argsort(rng.permutation(dim))
+    turned = -((place[None, :] - step * np.arange(rows)[:, None]) // dim)
+    return (rng.integers(0, 2, dim, np.uint8)[None, :] ^ (turned & 1)).astype(np.uint8)
+
+
 def position_codebook(bins: int, dim: int, seed: int, kind: str = "random", flip_bits: int = 8) -> np.ndarray:
     """(bins, dim / 8) packed position vectors: independent bits, or neighbours that differ in `flip_bits` bits."""
     rng = np.random.default_rng(seed)
-    if kind == "random":
-        return np.packbits(rng.integers(0, 2, (bins, dim), np.uint8), axis=1, bitorder="little")
-    order, row = rng.permutation(dim), rng.integers(0, 2, dim, np.uint8)
-    out = np.empty((bins, dim // 8), np.uint8)
-    for i in range(bins):
-        if i:
-            row[order.take(np.arange((i - 1) * flip_bits, i * flip_bits), mode="wrap")] ^= 1
-        out[i] = np.packbits(row, bitorder="little")
-    return out
+    bits = rng.integers(0, 2, (bins, dim), np.uint8) if kind == "random" else _flip_walk(bins, dim, flip_bits, rng)
+    return np.packbits(bits, axis=1, bitorder="little")
 
 
 def level_codebook(levels: int, dim: int, seed: int, kind: str = "random") -> np.ndarray:
     """(levels, dim) bits: the first l / (Q - 1) * dim / 2 bits of a half-and-half vector turned, or a walk of equal steps."""
-    if kind == "random":
-        base = (np.arange(dim) >= dim // 2).astype(np.uint8)
-        turned = [int(i / max(levels - 1, 1) * dim / 2) for i in range(levels)]
-        return np.array([base ^ (np.arange(dim) < t) for t in turned], np.uint8)
-    rng = np.random.default_rng(seed + 1)
-    order, row, step = rng.permutation(dim), rng.integers(0, 2, dim, np.uint8), max(1, dim // levels)
-    out = [row.copy()]
-    for i in range(1, levels):
-        row[order.take(np.arange((i - 1) * step, i * step), mode="wrap")] ^= 1
-        out.append(row.copy())
-    return np.array(out, np.uint8)
+    if kind != "random":
+        return _flip_walk(levels, dim, max(1, dim // levels), np.random.default_rng(seed + 1))
+    at = np.arange(dim)[None, :]
+    turned = (np.arange(levels) / max(levels - 1, 1) * dim / 2).astype(np.int64)[:, None]
+    return ((at >= dim // 2) ^ (at < turned)).astype(np.uint8)
 
 
 def gaussian_codebooks(bins: int, levels: int, dim: int, seed: int, flip_factor: int = 2) -> tuple[np.ndarray, np.ndarray]:
-    """Position vectors from one Gaussian vector with dim / flip_factor random sign flips a step; levels + 1 level vectors."""
+    """Position vectors from one Gaussian vector: at each step the signs at dim / flip_factor drawn positions are turned, one
+    drawn twice as well. levels + 1 level vectors of +1 and -1, from a half-and-half vector by turning its head further."""
     rng = np.random.default_rng(seed)
-    first = rng.permutation(np.where(np.arange(dim) < dim // 2, -1.0, 1.0))
-    level = np.array([np.where(np.arange(dim) < int(int(i / levels * dim) / 2), -first, first) for i in range(levels + 1)], np.float32)
-    row, out = rng.normal(0, 1, dim), []
-    for i in range(bins):
-        if i:
-            np.negative.at(row, rng.integers(0, dim, dim // flip_factor))
-        out.append(row.copy())
-    return np.array(out, np.float32), level
+    half = rng.permutation(np.repeat([-1.0, 1.0], [dim // 2, dim - dim // 2]))
+    head = (np.arange(levels + 1) / levels * dim).astype(np.int64) // 2
+    level = np.where(np.arange(dim)[None, :] < head[:, None], -half, half)
+    start = rng.normal(0, 1, dim)
+    turned = np.zeros((bins, dim), bool)
+    turned[np.arange(1, bins)[:, None], rng.integers(0, dim, (max(bins - 1, 0), dim // flip_factor))] = True
+    signs = 1.0 - 2.0 * (np.cumsum(turned, axis=0) % 2)
+    return (start * signs).astype(np.float32), level.astype(np.float32)
 
 
 @dataclass(frozen=True)
@@ -172,6 +168,16 @@ def coarse_filter(pairs: DataFrame, partial: str, examined_bits: int, dim: int,
     return pairs.where(F.col(partial) + (dim - examined_bits) >= threshold)
 
 
+def filtered_similarity(pairs: DataFrame, a: Column, b: Column, words: int, bits_a_word: int, dim: int, threshold: Column, out: str = "similarity") -> DataFrame:
+    """Pairs that may reach `threshold`, with their similarity of all `dim` bits. The first `words` words of both vectors are
+    compared for every pair, the others only where equal bits so far and all bits left could still make it."""
+    n = words * bits_a_word
+    equal = lambda x, y, bits: F.lit(bits) - F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, v: s + v)
+    kept = coarse_filter(pairs.withColumn("_part", equal(F.slice(a, 1, words), F.slice(b, 1, words), n)), "_part", n, dim, threshold)
+    rest = equal(F.slice(a, words + 1, 2**30), F.slice(b, words + 1, 2**30), dim - n)
+    return kept.withColumn(out, F.col("_part") + rest).drop("_part")
+
+
 def candidate_reduction(unfiltered: Column, surviving: Column) -> Column:
     """1 - surviving / unfiltered; 0 without candidates."""
     return F.when(unfiltered > 0, 1.0 - surviving / unfiltered).otherwise(0.0)

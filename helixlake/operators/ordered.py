@@ -13,12 +13,12 @@ def running_total(df: DataFrame, order: list[Column], value: Column, out: str) -
 
     Rows are range-partitioned by the order, partition totals are prefixed, sums run inside partitions.
     """
-    spread = df.withColumn("_v", F.coalesce(value, F.lit(0))).repartitionByRange(*order).withColumn("_p", F.spark_partition_id())
+    spread = df.withColumn("_total_v", F.coalesce(value, F.lit(0))).repartitionByRange(*order).withColumn("_total_p", F.spark_partition_id())
     parted = materialise(spread, "ordered")
-    totals = parted.groupBy("_p").agg(F.sum("_v").alias("_t"))
-    totals = totals.select("_p", F.coalesce(F.sum("_t").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b"))
-    inside = Window.partitionBy("_p").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return parted.join(F.broadcast(totals), "_p").withColumn(out, F.col("_b") + F.coalesce(F.sum("_v").over(inside), F.lit(0))).drop("_p", "_v", "_b")
+    totals = parted.groupBy("_total_p").agg(F.sum("_total_v").alias("_total_t"))
+    totals = totals.select("_total_p", F.coalesce(F.sum("_total_t").over(Window.orderBy("_total_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_total_b"))
+    inside = Window.partitionBy("_total_p").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    return parted.join(F.broadcast(totals), "_total_p").withColumn(out, F.col("_total_b") + F.coalesce(F.sum("_total_v").over(inside), F.lit(0))).drop("_total_p", "_total_v", "_total_b")
 
 
 def numbered(df: DataFrame, order: list[Column], out: str) -> DataFrame:
@@ -77,6 +77,13 @@ def best_setting(df: DataFrame, recall: str, reduction: str, least: float) -> Da
     return df.agg(F.max(F.when(F.col(recall) >= least, good).otherwise(bad)).alias("b")).where("b IS NOT NULL").select("b.row.*")
 
 
+def first_share(df: DataFrame, order: list[Column], share: float) -> DataFrame:
+    """The first `share` of the rows in order, rounded down, at least one. The rows are counted and read again, so `df` is
+    written to the shared folder first."""
+    df = materialise(df, "ordered")
+    return numbered(df, order, "_i").where(F.col("_i") < max(1, int(df.count() * share))).drop("_i")
+
+
 def thresholds(df: DataFrame, value: str, percentiles: list[float]) -> DataFrame:
     """Distinct floored percentiles of a column: the thresholds of a sweep."""
     p = df.agg(F.percentile(value, F.array(*(F.lit(x / 100) for x in percentiles))).alias("p"))
@@ -85,20 +92,24 @@ def thresholds(df: DataFrame, value: str, percentiles: list[float]) -> DataFrame
 
 def capped_groups(df: DataFrame, group: str, order: list[Column], per_group: int, cap: int) -> DataFrame:
     """At most `per_group` rows of every group; groups by size (then name) are taken whole until one would exceed `cap`
-    in all, which is skipped. The rule is sequential over groups of taken sizes: only (size, name) of the groups that can
-    still fit, at most `cap` of them, are looked at on the driver."""
+    in all, which is skipped.
+
+    Taken sizes never rise in that order, so the rule is one of counts: of the groups with equal taken size, the first
+    floor(what is left / size) are kept. The driver sees a count for each of at most `per_group` taken sizes, and the groups
+    themselves are found by a top-k for each size that isn't kept as a whole.
+    """
     kept = df.withColumn("_r", F.row_number().over(Window.partitionBy(group).orderBy(*order))).where(F.col("_r") <= per_group).drop("_r")
-    # Whole-group sizes decide the order; only the taken rows count against the cap.
-    sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), group)
-    left, names = cap, []
-    for row in sizes.toLocalIterator():
-        take = min(row["n"], per_group)
-        if take <= left:
-            names.append(row[group])
-            left -= take
-        if left <= 0:
-            break
-    return kept.where(F.col(group).isin(names)) if names else kept.limit(0)
+    sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("_n")).withColumn("_take", F.least(F.col("_n"), F.lit(per_group)))
+    left, whole, parts = cap, [], []
+    for row in sizes.groupBy("_take").agg(F.count(F.lit(1)).alias("c")).orderBy(F.desc("_take")).collect():
+        n = min(row["c"], left // row["_take"])
+        left -= n * row["_take"]
+        if n == row["c"]:
+            whole.append(row["_take"])
+        elif n:
+            parts.append(sizes.where(F.col("_take") == row["_take"]).orderBy(F.desc("_n"), group).limit(n).select(group))
+    chosen = reduce(lambda a, b: a.unionByName(b), parts, sizes.where(F.col("_take").isin(whole)).select(group))
+    return kept.join(chosen.withColumnRenamed(group, "_g"), F.col(group).eqNullSafe(F.col("_g")), "left_semi")
 
 
 def aligned_union(parts: dict[str, DataFrame], columns: list[str], source: str = "source") -> DataFrame:
@@ -127,14 +138,20 @@ def equal_groups(a: DataFrame, b: DataFrame, item: str, group_a: str, group_b: s
     return cells.join(na, group_a).join(nb, group_b).where((F.col("n") == F.col("_na")) & (F.col("n") == F.col("_nb"))).select(group_a, group_b, "n")
 
 
-def equivalent_inputs(a: DataFrame, b: DataFrame, text: str) -> DataFrame:
-    """One row: whether two inputs agree in count, total length, length histogram and content (as multisets).
+def equivalent_inputs(a: DataFrame, b: DataFrame, text: str, order: str | None = None) -> DataFrame:
+    """One row: whether two inputs agree in count, total length, length histogram and content, as multisets or, with the column
+    `order`, also in the order of their texts.
 
-    The content digest is the sum of 64-bit hashes, so no order and no single task is needed.
+    The content digest is the sum of 64-bit hashes, those of an order take the row's number in, so no single task is needed.
     """
-    one = lambda df: df.agg(
-        F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.length(text)), F.lit(0)).alias("bases"), F.sum(F.xxhash64(F.length(text)).cast("decimal(38,0)")).alias("lengths"), F.sum(F.xxhash64(text).cast("decimal(38,0)")).alias("content")
-    )
+
+    def one(df: DataFrame) -> DataFrame:
+        place = F.lit(0)
+        if order is not None:
+            df, place = numbered(df.select(order, text), [F.col(order), F.col(text)], "_i"), F.col("_i")
+        total = lambda c: F.sum(c.cast("decimal(38,0)"))
+        return df.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.length(text)), F.lit(0)).alias("bases"), total(F.xxhash64(F.length(text))).alias("lengths"), total(F.xxhash64(F.col(text), place)).alias("content"))
+
     x, y = one(a), one(b)
     named = x.toDF(*(f"a_{c}" for c in x.columns)).join(F.broadcast(y.toDF(*(f"b_{c}" for c in y.columns))))
     same = reduce(lambda p, q: p & q, [F.col(f"a_{c}").eqNullSafe(F.col(f"b_{c}")) for c in x.columns])

@@ -1,11 +1,16 @@
 """Search results: best hits, margins, calibration, q-values, group FDR and the two-stage cascade."""
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from helixlake.plans.lineage import materialise
+from helixlake.functions.bits import hamming_words
+from helixlake.operators.bandjoin import band_join
+from helixlake.operators.ordered import running_total
+from helixlake.plans.lineage import materialise, new_path, remove
 
 
 def best_hits(hits: DataFrame, query: str, item: str, score: str) -> DataFrame:
@@ -74,39 +79,59 @@ def mass_difference(observed: Column, calculated: Column, charge: Column) -> Col
     return (observed - calculated) * charge
 
 
-def mass_groups(df: DataFrame, id_col: str, score: str, diff: str, tolerance: float, min_size: int, ppm_of: str | None = None, out: str = "mass_group") -> DataFrame:
+def mass_groups(df: DataFrame, id_col: str, score: str, diff: str, tolerance: float, min_size: int, ppm_of: str | None = None, out: str = "mass_group", finish_rows: int = 200_000) -> DataFrame:
     """Greedy groups by mass difference: the best remaining row takes all remaining rows within the tolerance.
 
-    Groups of fewer than `min_size` rows share group -1. Equal scores go by id. The greedy order only matters between rows
-    that a chain of steps within the tolerance connects, so the sorted differences are first split at gaps wider than the
-    tolerance and each stretch is grouped by itself. With `ppm_of`, the tolerance is in millionths of each row's own value.
-    A stretch is bounded by the spread of the differences, not by the table; rows with a null difference are left out.
+    Groups of fewer than `min_size` rows share group -1, the others are named by their best row. Equal scores go by id. With
+    `ppm_of`, the tolerance is in millionths of each row's own value. Rows with a null difference are left out.
+
+    A row is a centre if no better centre reaches it, and a row belongs to the best centre that does. So centres are found in
+    rounds, however dense the differences: in cells as wide as the widest tolerance, the best remaining row of a cell that
+    beats the best of both neighbours is one, and the rows it reaches drop out. Once at most `finish_rows` rows are left
+    (checked), one task applies the rule as it stands. Rounds are written to the shared folder.
     """
-    rows = df.where(F.col(diff).isNotNull()).select(id_col, F.col(score).cast("double").alias("_s"), F.col(diff).cast("double").alias("_m"), F.col(ppm_of).cast("double").alias("_o") if ppm_of else F.lit(1e6).alias("_o"))
-    widest = tolerance if not ppm_of else (df.agg(F.max(ppm_of)).first()[0] or 0.0) * tolerance / 1e6
-    step = max(widest, 1e-9)
-    # Occupied cells of one tolerance; an empty cell between two rows means a gap wider than it.
-    cells = rows.select(F.floor(F.col("_m") / step).alias("_c")).distinct()
-    before = F.lag("_c").over(Window.orderBy("_c"))
-    cells = cells.withColumn("_new", F.when(before.isNull() | (F.col("_c") - before > 1), 1).otherwise(0)).withColumn("_stretch", F.sum("_new").over(Window.orderBy("_c"))).select("_c", "_stretch")
-    placed = rows.withColumn("_c", F.floor(F.col("_m") / step)).join(cells, "_c").drop("_c")
+    spark, spent = df.sparkSession, []
+
+    def keep(frame: DataFrame, label: str) -> DataFrame:
+        spent.append(new_path(spark, label))
+        return materialise(frame, label, spent[-1])
+
+    rows = df.where(F.col(diff).isNotNull()).select(F.col(id_col).alias("_id"), F.coalesce(F.col(score).cast("double"), F.lit(float("-inf"))).alias("_s"), F.col(diff).cast("double").alias("_m"), (F.col(ppm_of).cast("double") if ppm_of else F.lit(1e6)).alias("_o"))
+    step = max(tolerance if not ppm_of else (df.agg(F.max(ppm_of)).first()[0] or 0.0) * tolerance / 1e6, 1e-9) * (1 + 1e-9)
+    rows = keep(rows.withColumn("_c", F.floor(F.col("_m") / step)), "masses")
+    best = F.min(F.struct((-F.col("_s")).alias("s"), F.col("_id").alias("i"), F.col("_m").alias("m")))
+    reached = F.abs(F.col("_m") - F.col("_b.m")) / F.col("_o") * 1e6 <= tolerance
+
+    def near(centres: DataFrame) -> DataFrame:
+        """Of every cell that a centre can reach, its centres."""
+        return centres.select(F.explode(F.array(F.col("_c") - 1, F.col("_c"), F.col("_c") + 1)).alias("_c"), "_b")
 
     def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["_s", id_col], ascending=[False, True], kind="stable")
-        mass, obs = pdf["_m"].to_numpy(), pdf["_o"].to_numpy()
-        group, left, n = np.full(len(pdf), -1), np.arange(len(pdf)), 0
+        pdf = pdf.sort_values(["_s", "_id"], ascending=[False, True], kind="stable")
+        mass, reach, left, chosen = pdf["_m"].to_numpy(), pdf["_o"].to_numpy(), np.arange(len(pdf)), []
         while len(left):
-            near = np.abs(mass[left] - mass[left[0]]) / obs[left] * 1e6 <= tolerance
-            if near.sum() >= min_size:
-                group[left[near]] = n
-                n += 1
-            left = left[~near]
-        return pd.DataFrame({id_col: pdf[id_col], "_stretch": pdf["_stretch"], "_n": group})
-
-    kind = dict(rows.dtypes)[id_col]
-    grouped = placed.groupBy("_stretch").applyInPandas(greedy, f"{id_col} {kind}, _stretch long, _n long")
-    label = F.when(F.col("_n") < 0, "-1").otherwise(F.concat_ws(".", F.col("_stretch").cast("string"), F.col("_n").cast("string")))
-    return df.join(grouped.select(id_col, label.alias(out)), id_col)
+            chosen.append(left[0])
+            left = left[~(np.abs(mass[left] - mass[left[0]]) / reach[left] * 1e6 <= tolerance) & (left != left[0])]
+        return pdf.iloc[chosen][["_c", "_s", "_id", "_m"]]
+
+    kind = dict(rows.dtypes)["_id"]
+    left, found = rows, []
+    while left.count() > finish_rows:
+        cells = keep(left.groupBy("_c").agg(best.alias("_b")), "cells")
+        beside = cells.select(F.explode(F.array(F.col("_c") - 1, F.col("_c") + 1)).alias("_c"), F.col("_b").alias("_other")).groupBy("_c").agg(F.min("_other").alias("_other"))
+        centres = keep(cells.join(beside, "_c", "left").where(F.col("_other").isNull() | (F.col("_b") < F.col("_other"))).select("_c", "_b"), "centres")
+        found.append(centres)
+        gone = left.join(near(centres), "_c").where(reached | (F.col("_id") == F.col("_b.i"))).select("_id").distinct()
+        left = keep(left.join(gone, "_id", "left_anti"), "masses")
+    last = left.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(greedy, f"_c long, _s double, _id {kind}, _m double")
+    found.append(keep(last.select("_c", F.struct((-F.col("_s")).alias("s"), F.col("_id").alias("i"), F.col("_m").alias("m")).alias("_b")), "centres"))
+    centres = reduce(lambda a, b: a.unionByName(b), found)
+    owned = rows.join(near(centres), "_c").where(reached | (F.col("_id") == F.col("_b.i"))).groupBy("_id").agg(F.min("_b").alias("_b"))
+    owned = materialise(owned.select("_id", F.col("_b.i").alias("_g")), "mass-groups")
+    large = owned.groupBy("_g").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min_size).select("_g", F.col("_g").cast("string").alias("_name"))
+    remove(spark, *spent)
+    named = owned.join(large, "_g", "left").select(F.col("_id").alias(id_col), F.coalesce("_name", F.lit("-1")).alias(out))
+    return df.join(named, id_col)
 
 
 def cascade(standard: DataFrame, opened: DataFrame, query: str, score: str, decoy: str, fdr: float, group: str | None = None) -> DataFrame:
@@ -117,6 +142,41 @@ def cascade(standard: DataFrame, opened: DataFrame, query: str, score: str, deco
     return first.withColumn("stage", F.lit("standard")).unionByName(second.withColumn("stage", F.lit("open")), allowMissingColumns=True)
 
 
+def standard_stage(queries: DataFrame, library: DataFrame, tolerance: Column, width: float, dim: int) -> DataFrame:
+    """(query, item, similarity, is_decoy, q): the best item of every query by equal bits (then smallest item), and its q-value.
+
+    queries: query, charge, query_mz, qw; library: item, charge, precursor_mz, w, is_decoy, the vectors as words. Candidates
+    have the query's charge and lie within `tolerance`. A query without a candidate is left out; the best candidate is an
+    aggregate, so a hot query isn't windowed.
+    """
+    pairs = band_join(queries, library, "query_mz", "precursor_mz", tolerance, width, ["charge"])
+    scored = pairs.select("query", "item", "is_decoy", (F.lit(dim) - hamming_words(F.col("qw"), F.col("w"))).alias("similarity"))
+    best = scored.groupBy("query").agg(F.min(F.struct((-F.col("similarity")).alias("s"), "item", "is_decoy")).alias("b"))
+    return q_values(best.select("query", "b.item", (-F.col("b.s")).alias("similarity"), "b.is_decoy"), "similarity", "is_decoy")
+
+
+def calibration_grid(queries: DataFrame, library: DataFrame, settings: list[dict], modes: list[str], encode, fdr: float) -> DataFrame:
+    """(label, mode, identified, error): accepted queries for every setting of an encoder and every score mode.
+
+    `encode(spectra, setting)` gives (query or item, w); each setting is encoded and compared once, whatever the number of
+    modes. queries: query, charge, query_mz; library: item, charge, precursor_mz, is_decoy. A setting that fails is a row with
+    its error and the others go on.
+    """
+    spark, rows = queries.sparkSession, []
+    for setting in settings:
+        label = "_".join(f"{k}={v}" for k, v in sorted(setting.items()))
+        try:
+            q, lib = encode(queries, setting), encode(library, setting)
+            dim = setting["dim"]
+            pairs = band_join(q.withColumnRenamed("w", "qw"), lib, "query_mz", "precursor_mz", F.lit(2.0), 4.0, ["charge"])
+            scored = materialise(pairs.select("query", "item", "is_decoy", (F.lit(dim) - hamming_words(F.col("qw"), F.col("w"))).alias("score")), "grid")
+            best = materialise(calibrated(scored, "query", "item", "score", dim).join(scored.select("item", "is_decoy").distinct(), "item"), "grid")
+            rows += [(label, mode, accepted(best, mode, "is_decoy", fdr).count(), None) for mode in modes]
+        except Exception as e:  # noqa: BLE001
+            rows.append((label, None, None, str(e).splitlines()[0][:200]))
+    return spark.createDataFrame(rows, "label string, mode string, identified long, error string")
+
+
 def score_summary(df: DataFrame, by: list[str], score: str) -> DataFrame:
     """Count, mean, median, interpolated 95th percentile and maximum of a score; nulls where there is none."""
     return df.groupBy(*by).agg(F.count(score).alias("n"), F.avg(score).alias("mean"), F.median(score).alias("median"), F.percentile(score, 0.95).alias("p95"), F.max(score).alias("largest"))
@@ -129,6 +189,6 @@ def count_summary(df: DataFrame, value: str) -> DataFrame:
     """
     counts = df.groupBy(F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("c")).where("v IS NOT NULL")
     total = counts.agg(F.sum("c").alias("n"), F.sum(F.col("v") * F.col("c")).alias("total"), F.max("v").alias("largest"))
-    ordered = counts.withColumn("upto", F.sum("c").over(Window.orderBy("v")))
-    at = ordered.join(F.broadcast(total.select("n"))).where(F.col("upto") > F.floor(0.95 * (F.col("n") - 1))).agg(F.min("v").alias("p95"))
+    upto = running_total(counts, [F.col("v")], F.col("c"), "before").withColumn("upto", F.col("before") + F.col("c"))
+    at = upto.join(F.broadcast(total.select("n"))).where(F.col("upto") > F.floor(0.95 * (F.col("n") - 1))).agg(F.min("v").alias("p95"))
     return total.join(F.broadcast(at)).select("n", (F.col("total") / F.col("n")).alias("mean"), "p95", "largest", "total")

@@ -2,8 +2,9 @@
 
 from pyspark.sql import functions as F
 
-from helixlake.functions import scalars
-from helixlake.operators import buckets, clustering, metrics, ordered
+from helixlake.functions import bits, scalars
+from helixlake.operators import bandjoin, buckets, clustering, metrics, ordered
+from helixlake.plans.lineage import materialise
 from helixlake.plans.search import HITS, best_identified
 from helixlake.plans.spectra import SPECTRA, spectra
 from helixlake.sources.tables import table
@@ -86,7 +87,7 @@ def unique_crosswalk(spark, d):
     from helixlake.operators.warehouse import unique_crosswalk as walk
 
     key = scalars.rounded_key(F.col("precursor_charge"), F.round(F.col("retention_time") / 100), F.round(F.col("precursor_mz") / 100))
-    s = spectra(spark, d).select("spectrum_id", key.alias("k")).withColumn("k", F.when(F.size(F.split("k", r"\|")) == 3, F.col("k")))
+    s = spectra(spark, d).select("spectrum_id", key.alias("k"))
     _, report = walk(s, s.withColumnRenamed("spectrum_id", "other"), "k")
     return report.select("keys", "ambiguous_keys", "rows", "matched", F.round("matched_percent", 6).alias("matched_percent"), F.round("ambiguous_percent", 6).alias("ambiguous_percent"))
 
@@ -97,6 +98,28 @@ def linkage_clusters(spark, d):
     return clustering.global_ids(clustering.bucket_clusters(s, "spectrum_id", ["precursor_charge", "bucket_id"], "packed_hv", 256), "cluster", "pim", "cluster_id").select(F.col("id").alias("spectrum_id"), "cluster_id")
 
 
+def linkage_check(spark, d):
+    """Clusters of complete linkage checked by what defines them: spectra, those in a cluster, and pairs farther apart than the cut."""
+    c = materialise(linkage_clusters(spark, d), "linkage")
+    v = spectra(spark, d).select("spectrum_id", bits.words(F.col("packed_hv"), 256).alias("w"))
+    m = c.join(v, "spectrum_id")
+    p = m.join(m.select("cluster_id", F.col("spectrum_id").alias("other"), F.col("w").alias("ow")), "cluster_id").where("spectrum_id < other")
+    far = p.agg(F.count(F.when(bits.hamming_words(F.col("w"), F.col("ow")) > 0.455 * 2048, 1)).alias("too_far"))
+    return c.agg(F.count(F.lit(1)).alias("members"), F.countDistinct("spectrum_id").alias("spectra")).join(F.broadcast(far))
+
+
+def vector_components(spark, d):
+    """Components of the spectra of equal charge and within 2 m/z whose vectors differ in at most 256 or 512 bits: density
+    clusters of two samples, distances computed once for both limits."""
+    s = spectra(spark, d).where(F.length("packed_hv") == 256).where("precursor_mz > 0 AND precursor_charge IS NOT NULL")
+    s = s.select("spectrum_id", F.col("precursor_charge").alias("charge"), F.col("precursor_mz").alias("mz"), bits.words(F.col("packed_hv"), 256).alias("w"))
+    b = s.select(F.col("spectrum_id").alias("other"), "charge", F.col("mz").alias("other_mz"), F.col("w").alias("ow"))
+    p = bandjoin.band_join(s, b, "mz", "other_mz", F.lit(2.0), 4.0, ["charge"]).where("spectrum_id < other")
+    p = materialise(p.select("spectrum_id", "other", bits.hamming_words(F.col("w"), F.col("ow")).alias("distance")).where("distance <= 512"), "vector-pairs")
+    c = clustering.threshold_components(s, p, "spectrum_id", "spectrum_id", "other", "distance", [256.0, 512.0])
+    return c.groupBy("threshold", "component").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+
+
 def graph_components(spark, d):
     """Connected components of the sequence graph, by the smallest node id."""
     from helixlake.operators.sequences import clean_edges
@@ -106,7 +129,7 @@ def graph_components(spark, d):
     return c.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (cluster_metrics, contingency_cells, incorrect_ratios, cluster_size_histogram, closed_size_distribution, size_filtered_clusters, clustered_shares, renumbered_clusters, namespaced_labels, weighted_batch_metrics, equal_groups, unique_crosswalk, linkage_clusters, graph_components)}
+QUERIES = {f.__name__: f for f in (cluster_metrics, contingency_cells, incorrect_ratios, cluster_size_histogram, closed_size_distribution, size_filtered_clusters, clustered_shares, renumbered_clusters, namespaced_labels, weighted_batch_metrics, equal_groups, unique_crosswalk, linkage_clusters, linkage_check, vector_components, graph_components)}
 
 
 def _hist(edges):
@@ -138,6 +161,11 @@ g AS (SELECT charge, sum(size) AS w, sum(major) / sum(size) AS purity, avg(size)
     "unique_crosswalk": f"""WITH {SPECTRA}, k AS (SELECT coalesce(precursor_charge, 0) || '|' || (round(retention_time / 100) * 100)::BIGINT || '|' || (round(precursor_mz / 100) * 1000)::BIGINT AS k FROM spec), u AS (SELECT k, count(*) AS n FROM k WHERE k IS NOT NULL GROUP BY 1),
 s AS (SELECT count(*) AS keys, sum(CASE WHEN n > 1 THEN 1 ELSE 0 END)::BIGINT AS ambiguous_keys, sum(CASE WHEN n = 1 THEN 1 ELSE 0 END)::BIGINT AS matched, (SELECT count(*) FROM k) AS rows FROM u)
 SELECT keys, ambiguous_keys, rows, matched, round(100.0::DOUBLE * matched / rows, 6) AS matched_percent, round(100.0::DOUBLE * ambiguous_keys / keys, 6) AS ambiguous_percent FROM s""",
+    "linkage_check": f"WITH {SPECTRA} SELECT count(*) AS members, count(*) AS spectra, 0::BIGINT AS too_far FROM spec WHERE precursor_mz > 0 AND octet_length(packed_hv) = 256",
+    "vector_components": f"""WITH RECURSIVE {SPECTRA}, v AS (SELECT spectrum_id AS id, precursor_charge AS z, precursor_mz AS mz, packed_hv::BIT AS b FROM spec WHERE octet_length(packed_hv) = 256 AND precursor_mz > 0 AND precursor_charge IS NOT NULL),
+p AS (SELECT a.id AS i, c.id AS j, bit_count(xor(a.b, c.b)) AS dist FROM v a JOIN v c ON a.z = c.z AND c.mz BETWEEN a.mz - 2.0::DOUBLE AND a.mz + 2.0::DOUBLE AND a.id <> c.id WHERE bit_count(xor(a.b, c.b)) <= 512),
+e AS (SELECT t::DOUBLE AS t, i, j FROM p, (VALUES (256), (512)) x(t) WHERE dist <= t), r AS (SELECT t, i, j FROM e UNION SELECT r.t, r.i, e.j FROM r JOIN e ON e.t = r.t AND e.i = r.j),
+m AS (SELECT t, i, least(i, min(j)) AS component FROM r GROUP BY t, i) SELECT t AS threshold, component, count(*) AS n FROM m GROUP BY ALL""",
     "graph_components": """WITH RECURSIVE e AS (SELECT DISTINCT node_id AS a, unnest(out_edges) AS b FROM graph_nodes), n AS (SELECT DISTINCT node_id FROM graph_nodes), f AS (SELECT a, b FROM e WHERE b IN (SELECT node_id FROM n)), u AS (SELECT a, b FROM f UNION SELECT b, a FROM f),
 r(s, x) AS (SELECT node_id, node_id FROM n UNION SELECT r.s, u.b FROM r JOIN u ON u.a = r.x WHERE u.b > r.s), c AS (SELECT x, min(s) AS component FROM r GROUP BY 1)
 SELECT component, count(*) AS n FROM c GROUP BY 1""",

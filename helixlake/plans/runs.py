@@ -1,5 +1,7 @@
 """Queries on run metrics, manifests, orders, samples, sets and cost models, over the relational tables."""
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from helixlake.functions import scalars
@@ -85,7 +87,7 @@ def props_parsed(spark, d):
 
 def display_forms(spark, d):
     p = table(spark, d, "part")
-    return p.select("p_partkey", scalars.humanised_seconds(F.col("p_size") * 90.0).alias("time"), scalars.humanised_bytes(F.col("p_size") * 40000.0).alias("size"), scalars.natural_key(F.col("p_name")).alias("key"))
+    return p.select("p_partkey", scalars.humanised_seconds(F.pow(F.col("p_size"), 3) * 2.5).alias("time"), scalars.humanised_bytes(F.col("p_size") * 40000.0).alias("size"), scalars.natural_key(F.col("p_name")).alias("key"))
 
 
 def mztab_rows(spark, d):
@@ -118,7 +120,10 @@ def resume_antijoin(spark, d):
 
 def input_equivalence(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "text")
-    return ordered.equivalent_inputs(docs, docs.where("doc_id % 2 = 0").union(docs.where("doc_id % 2 <> 0")), "text")
+    turned = docs.where("doc_id % 2 = 0").union(docs.where("doc_id % 2 <> 0"))
+    moved = turned.withColumn("doc_id", F.when(F.col("doc_id") <= 2, 3 - F.col("doc_id")).otherwise(F.col("doc_id")))
+    kinds = {"multiset": ordered.equivalent_inputs(docs, moved, "text"), "ordered": ordered.equivalent_inputs(docs, turned, "text", "doc_id"), "moved": ordered.equivalent_inputs(docs, moved, "text", "doc_id")}
+    return reduce(lambda a, b: a.unionByName(b), (df.withColumn("kind", F.lit(k)) for k, df in kinds.items()))
 
 
 def source_digests(spark, d):
@@ -251,14 +256,15 @@ SELECT direction, CASE WHEN lower(direction) LIKE '%htod%' THEN 'in' WHEN lower(
     "regression_metrics": "WITH x AS (SELECT l_extendedprice / 1000 AS t, l_quantity AS p FROM lineitem) SELECT count(*) AS n, round(avg(abs(p - t)), 6) AS mae, round(avg((p - t) * (p - t)), 6) AS mse, round(sqrt(avg((p - t) * (p - t))), 6) AS rmse, round(1 - avg((p - t) * (p - t)) / var_pop(t), 6) AS r2 FROM x",
     "event_averages": "SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS users, round(avg(value), 6) AS mean, round(median(value), 6) AS median FROM events GROUP BY 1",
     "props_parsed": "SELECT event_id, try_cast(json_extract_string(props, '$.k') AS DOUBLE) AS k, 0::DOUBLE AS missing FROM events",
-    "display_forms": """WITH p AS (SELECT *, p_size * 90.0::DOUBLE AS s, p_size * 40000.0::DOUBLE AS b FROM part) SELECT p_partkey, CASE WHEN s < 120 THEN printf('%.1f s', s) WHEN s < 7200 THEN printf('%.1f min', s / 60) ELSE printf('%.1f h', s / 3600) END AS time,
-  CASE WHEN b < 1e6 THEN printf('%.1f kB', b / 1e3) ELSE printf('%.1f MB', b / 1e6) END AS size, list_aggregate(list_transform(regexp_extract_all(lower(p_name), '\\d+|\\D+'), lambda x: CASE WHEN regexp_matches(x, '^\\d') THEN lpad(x, 20, '0') ELSE x END), 'string_agg', '') AS key FROM p""",
+    "display_forms": """WITH p AS (SELECT *, p_size ** 3 * 2.5::DOUBLE AS s, p_size * 40000.0::DOUBLE AS b FROM part) SELECT p_partkey, CASE WHEN s >= 86400 THEN printf('%.2f days', s / 86400) WHEN s >= 3600 THEN printf('%.2f h', s / 3600) WHEN s >= 60 THEN printf('%.2f min', s / 60) ELSE printf('%.2f s', s) END AS time,
+  format('{:,}', b::BIGINT) AS size, list_aggregate(list_transform(regexp_extract_all(lower(p_name), '\\d+|\\D+'), lambda x: CASE WHEN regexp_matches(x, '^\\d') THEN lpad(x, 20, '0') ELSE x END), 'string_agg', '') AS key FROM p""",
     "mztab_rows": "WITH v AS (SELECT concat_ws(chr(9), 'PSM', library_id, peptide, charge) AS value FROM library_spectra WHERE peptide IS NOT NULL) SELECT value, ((row_number() OVER (ORDER BY value) - 1) // 1000)::BIGINT AS chunk FROM v",
     "paf_rows": """SELECT o_orderkey, o_custkey % 500 AS "end", o_orderkey % 200 AS length, o_custkey % 300 AS score, greatest(0, o_custkey % 500 - o_orderkey % 200) AS start, least(o_orderkey % 200, (o_custkey % 300) // 2) AS matches FROM orders""",
     "union_align": "SELECT c_name AS name, c_acctbal AS balance, NULL::VARCHAR AS region, c_mktsegment, 'customer' AS source FROM customer UNION ALL SELECT s_name, s_acctbal, NULL, NULL, 'supplier' FROM supplier",
     "key_intersection": "SELECT o_custkey AS k FROM orders INTERSECT SELECT c_custkey FROM customer",
     "resume_antijoin": "SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')",
-    "input_equivalence": "SELECT count(*) AS n_a, count(*) AS n_b, sum(length(text))::BIGINT AS bases_a, sum(length(text))::BIGINT AS bases_b, true AS equivalent FROM documents",
+    "input_equivalence": """SELECT kind, count(*) AS n_a, count(*) AS n_b, sum(length(text))::BIGINT AS bases_a, sum(length(text))::BIGINT AS bases_b,
+  kind <> 'moved' OR max(CASE WHEN doc_id = 1 THEN text END) IS NOT DISTINCT FROM max(CASE WHEN doc_id = 2 THEN text END) AS equivalent FROM documents, (VALUES ('multiset'), ('ordered'), ('moved')) k(kind) GROUP BY kind""",
     "source_digests": "SELECT lower(instrument) AS i, sha256(string_agg(sha256(run_id), chr(10) ORDER BY run_id)) AS digest FROM ms_runs GROUP BY 1",
     "hash_sample_cutoff": """WITH x AS (SELECT doc_id, coalesce(length(text), 0) AS size, sha256('|' || doc_id) AS h FROM documents), y AS (SELECT doc_id, (sum(size) OVER (ORDER BY h, doc_id ROWS UNBOUNDED PRECEDING) - size)::BIGINT AS before FROM x) SELECT * FROM y WHERE before < 1000000""",
     "prefix_cutoff": """WITH x AS (SELECT doc_id, length(text) AS n, sum(length(text)) OVER (ORDER BY doc_id ROWS UNBOUNDED PRECEDING) - length(text) AS b FROM documents WHERE length(text) >= 50) SELECT doc_id, least(n, 500000 - b)::INT AS kept FROM x WHERE b < 500000""",

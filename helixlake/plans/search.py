@@ -138,12 +138,17 @@ def open_candidates(spark, d):
 THRESHOLDS, SEGMENTS = (1100, 1300, 1500, 1700), (4, 8, 16)
 
 
-def _sweep(spark, d):
-    """Partial similarities of candidates (equal charge, within 2 Da) of every spectrum whose id is divisible by 50."""
+def _vector_pairs(spark, d):
+    """Candidates (equal charge, within 2 Da) of every spectrum whose id is divisible by 50, with the words of both vectors."""
     s = spectra(spark, d).where(F.length("packed_hv") == 256).where("precursor_mz > 0 AND precursor_charge IS NOT NULL")
     s = s.select("spectrum_id", F.col("precursor_charge").alias("charge"), "precursor_mz", bits.words(F.col("packed_hv"), 256).alias("w"))
     q = s.where("spectrum_id % 50 = 0").select(F.col("spectrum_id").alias("query"), "charge", F.col("precursor_mz").alias("query_mz"), F.col("w").alias("qw"))
-    p = bandjoin.band_join(q, s.withColumnRenamed("spectrum_id", "item"), "query_mz", "precursor_mz", F.lit(2.0), 4.0, ["charge"])
+    return bandjoin.band_join(q, s.withColumnRenamed("spectrum_id", "item"), "query_mz", "precursor_mz", F.lit(2.0), 4.0, ["charge"])
+
+
+def _sweep(spark, d):
+    """Whole and partial similarities of those pairs."""
+    p = _vector_pairs(spark, d)
     sim = lambda n: F.lit(56 * n) - bits.hamming_words(F.slice("qw", 1, n), F.slice("w", 1, n))
     return p.select("query", "item", (F.lit(2048) - bits.hamming_words(F.col("qw"), F.col("w"))).alias("similarity"), *(sim(n).alias(f"partial_{n}") for n in SEGMENTS))
 
@@ -173,12 +178,42 @@ def sweep_deltas(spark, d):
     return ordered.consecutive_deltas(s, ["threshold"], "reduction", "recall").withColumn("marginal", F.round("marginal", 4))
 
 
-def sweep_thresholds(spark, d):
+def _calibration(spark, d):
+    """The 8th best similarity of the first fifth of the queries that have one."""
     eighth = metrics.placed(_sweep(spark, d), ["query"], [F.desc("similarity"), F.col("item")]).where("place = 8")
-    return ordered.thresholds(eighth, "similarity", [1, 10, 25, 50, 75, 90, 95, 99])
+    return ordered.first_share(eighth, [F.col("query")], 0.2)
+
+
+def sweep_thresholds(spark, d):
+    return ordered.thresholds(_calibration(spark, d), "similarity", [1, 10, 25, 50, 75, 90, 95, 99])
+
+
+def coarse_filtered_hits(spark, d):
+    """Candidates that reach the calibrated threshold (1st percentile); the rest of a vector is compared only where its first
+    segments leave that possible."""
+    least = ordered.thresholds(_calibration(spark, d), "similarity", [1])
+    pairs = _vector_pairs(spark, d).join(F.broadcast(least))
+    return hypervectors.filtered_similarity(pairs, F.col("qw"), F.col("w"), 16, 56, 2048, F.col("threshold")).where("similarity >= threshold").select("query", "item", F.col("similarity").cast("long").alias("similarity"))
+
+
+def vector_search(spark, d):
+    """The standard stage from vectors: every spectrum whose id is divisible by 50 against the others of equal charge within 500
+    ppm, best similarity, error control over odd ids as decoys."""
+    s = spectra(spark, d).where(F.length("packed_hv") == 256).where("precursor_mz > 0 AND precursor_charge IS NOT NULL")
+    s = s.select("spectrum_id", F.col("precursor_charge").alias("charge"), "precursor_mz", bits.words(F.col("packed_hv"), 256).alias("w"))
+    q = s.where("spectrum_id % 50 = 0").select(F.col("spectrum_id").alias("query"), "charge", F.col("precursor_mz").alias("query_mz"), F.col("w").alias("qw"))
+    lib = s.where("spectrum_id % 50 <> 0").select(F.col("spectrum_id").alias("item"), "charge", "precursor_mz", "w", (F.col("spectrum_id") % 2 == 1).alias("is_decoy"))
+    return search.standard_stage(q, lib, F.col("query_mz") * 500e-6, 1.0, 2048).select("query", "item", F.col("similarity").cast("long").alias("similarity"), "is_decoy", F.round("q", 9).alias("q"))
+
+
+def open_stage_membership(spark, d):
+    """Every query of the standard stage and whether it goes on to the open stage."""
+    best = best_identified(spark, d, "standard")
+    first = search.accepted(best, "score", "is_decoy", 0.05).select("query_spectrum", F.lit(True).alias("done"))
+    return best.select("query_spectrum").join(first, "query_spectrum", "left").select("query_spectrum", F.col("done").isNull().alias("open"))
 
 
-QUERIES = {f.__name__: f for f in (search_best_hits, search_margins, group_max_ties, score_summary, candidate_summary, fdr_qvalues, fdr_by_charge, search_cascade, mass_differences, grouped_cascade, stage_counts, engine_counts, retry_queries, band_join_abs, band_join_ppm, open_candidates, coarse_filter_sweep, sweep_choice, sweep_deltas, sweep_thresholds)}
+QUERIES = {f.__name__: f for f in (search_best_hits, search_margins, group_max_ties, score_summary, candidate_summary, fdr_qvalues, fdr_by_charge, search_cascade, mass_differences, grouped_cascade, stage_counts, engine_counts, retry_queries, band_join_abs, band_join_ppm, open_candidates, coarse_filter_sweep, sweep_choice, sweep_deltas, sweep_thresholds, coarse_filtered_hits, vector_search, open_stage_membership)}
 
 _STD = IDENT + ", std AS (SELECT * FROM best WHERE stage = 'standard'), opn AS (SELECT * FROM best WHERE stage = 'open'), " + _fdr_sql("sq", "std")
 _CASCADE = _STD + ", acc AS (SELECT * FROM sq WHERE NOT is_decoy AND q <= 0.05), rest AS (SELECT * FROM opn WHERE query_spectrum NOT IN (SELECT query_spectrum FROM acc)), " + _fdr_sql("oq", "rest") + """,
@@ -194,6 +229,7 @@ g AS (SELECT replace(seg, 'partial_', '')::INT AS segments, threshold::INT AS th
   FROM grid WHERE partial + 2048 - 56 * replace(seg, 'partial_', '')::INT >= threshold GROUP BY ALL),
 sweep AS (SELECT segments, threshold, (SELECT count(*) FROM pairs) AS unfiltered, surviving, (SELECT count(*) FROM ranked WHERE place <= 8) AS exact, retained, first_retained,
   round(1 - surviving::DOUBLE / (SELECT count(*) FROM pairs), 6) AS reduction, round(retained::DOUBLE / (SELECT count(*) FROM ranked WHERE place <= 8), 6) AS recall FROM g)"""
+_FIFTH = "eighth AS (SELECT query, similarity, row_number() OVER (ORDER BY query) AS i, count(*) OVER () AS n FROM ranked WHERE place = 8), fifth AS (SELECT * FROM eighth WHERE i <= greatest(1, floor(n * 0.2::DOUBLE)))"
 SQL = {
     "search_best_hits": f"WITH {IDENT} SELECT query_spectrum, library_spectrum, score, peptide, is_decoy FROM best WHERE stage = 'open'",
     "search_margins": f"""WITH {HITS}, r AS (SELECT *, row_number() OVER (PARTITION BY query_spectrum ORDER BY score DESC, library_spectrum) AS r FROM hit WHERE stage = 'open')
@@ -220,5 +256,9 @@ FROM spec JOIN ms_runs USING (run_id) LEFT JOIN casc ON query_spectrum = spectru
 ORDER BY recall >= 0.99 DESC, CASE WHEN recall >= 0.99 THEN reduction ELSE recall END DESC, CASE WHEN recall >= 0.99 THEN recall ELSE reduction END DESC, segments DESC, threshold DESC LIMIT 1""",
     "sweep_deltas": f"""WITH {_SWEEP}, w AS (SELECT threshold, reduction, recall, reduction - lag(reduction) OVER (ORDER BY threshold) AS g, lag(recall) OVER (ORDER BY threshold) - recall AS x FROM sweep WHERE segments = 16)
 SELECT threshold, reduction, recall, CASE WHEN g > 0 THEN round(x / g, 4) END AS marginal FROM w""",
-    "sweep_thresholds": f"""WITH {_SWEEP} SELECT DISTINCT floor(t)::BIGINT AS threshold FROM (SELECT unnest(quantile_cont(similarity::DOUBLE, [0.01, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99])) AS t FROM ranked WHERE place = 8) WHERE t IS NOT NULL""",
+    "sweep_thresholds": f"""WITH {_SWEEP}, {_FIFTH} SELECT DISTINCT floor(t)::BIGINT AS threshold FROM (SELECT unnest(quantile_cont(similarity::DOUBLE, [0.01, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99])) AS t FROM fifth) WHERE t IS NOT NULL""",
+    "coarse_filtered_hits": f"""WITH {_SWEEP}, {_FIFTH} SELECT query, item, similarity::BIGINT AS similarity FROM pairs WHERE similarity >= (SELECT floor(quantile_cont(similarity::DOUBLE, 0.01)) FROM fifth)""",
+    "vector_search": f"""WITH {_SWEEP}, c AS (SELECT q.spectrum_id AS query, r.spectrum_id AS item, 2048 - bit_count(xor(q.b, r.b)) AS score FROM v q JOIN v r ON q.charge = r.charge AND r.mz BETWEEN q.mz - q.mz * 500e-6::DOUBLE AND q.mz + q.mz * 500e-6::DOUBLE WHERE q.spectrum_id % 50 = 0 AND r.spectrum_id % 50 <> 0),
+h AS (SELECT DISTINCT ON (query) query, item, score, item % 2 = 1 AS is_decoy FROM c ORDER BY query, score DESC, item), {_fdr_sql("x", "h")} SELECT query, item, score::BIGINT AS similarity, is_decoy, round(q, 9) AS q FROM x""",
+    "open_stage_membership": f"WITH {_CASCADE} SELECT query_spectrum, query_spectrum NOT IN (SELECT query_spectrum FROM acc) AS open FROM std",
 }

@@ -184,6 +184,8 @@ SELECT spectrum_id, coalesce(n, 0)::INT AS removed FROM spec LEFT JOIN g USING (
     "hv_signs": f"""WITH {_BITS} SELECT vec_id, list_sum(list_transform(range(0, 62), lambda i: b[i + 1]::BIGINT << i))::BIGINT AS packed,
   list_sum(list_transform(range(0, 32), lambda i: b[i + 1]::BIGINT << (31 - i)))::BIGINT AS word0, list_sum(list_transform(range(0, 32), lambda i: b[i + 33]::BIGINT << (31 - i)))::BIGINT AS word1, list_sum(b)::BIGINT AS ones FROM bits""",
     "hv_distance_to_next": f"""WITH {_BITS}, p AS (SELECT a.vec_id, list_sum(list_transform(range(1, 65), lambda i: abs(a.b[i] - c.b[i])))::BIGINT AS d FROM bits a JOIN bits c ON c.vec_id = a.vec_id + 1) SELECT vec_id, d AS by_words, d AS by_dot FROM p""",
+    "hv_encoded": f"""WITH {SPECTRA}, e AS (SELECT coalesce(list_max(intensity), 0) <= 0 AS none, coalesce(len(list_filter(mz, lambda m: m >= 0 AND m < 2000)), 0) = 0 AS out_of_range FROM spec)
+SELECT style, count(*) AS vectors, count(*) FILTER (none OR (out_of_range AND style <> 'bipolar')) AS empty FROM e, (VALUES ('weighted'), ('bipolar'), ('aligned')) s(style) GROUP BY style""",
     "hv_top_k": f"""WITH {SPECTRA}, v AS (SELECT spectrum_id, packed_hv::BIT AS b FROM spec WHERE octet_length(packed_hv) = 256), p AS (SELECT q.spectrum_id AS query, r.spectrum_id AS item, (2048 - bit_count(xor(q.b, r.b)))::INT AS similarity FROM v q, v r WHERE q.spectrum_id % 50 = 0),
 k AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY similarity DESC, item) AS place FROM p) SELECT query, item, similarity, place::INT AS place FROM k WHERE place <= 10""",
 }
