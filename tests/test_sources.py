@@ -5,7 +5,7 @@ import sqlite3
 import pytest
 from pyspark.sql import functions as F
 
-from helixlake.sources import genomics, metrics, sinks, spectra
+from helixlake.sources import genomics, metrics, records, sinks, spectra
 from helixlake.streaming.metrics import stream_jsonl, windowed_rollup
 
 MGF = """BEGIN IONS
@@ -39,7 +39,7 @@ def put(tmp_path, name, text):
 
 def test_mgf(spark, tmp_path):
     path = put(tmp_path, "a.mgf", MGF)
-    r = spectra.read_mgf(spark, path, ordinals=True).orderBy("ordinal").collect()
+    r = spectra.read_mgf(spark, path).orderBy("ordinal").collect()
     assert [(x["title"], x["precursor_mz"], x["charge"], x["retention_time"], len(x["peaks"])) for x in r] == [("one", 500.5, 2, 12.5, 3), ("query_1", 600.0, 2, 0.0, 1)]
     assert spectra.read_mgf(spark, path).count() == 2
     with pytest.raises(Exception, match="lacks TITLE"):
@@ -49,6 +49,53 @@ def test_mgf(spark, tmp_path):
     assert [x["precursor_mz"] for x in spectra.read_mgf_precursors(spark, path).orderBy("precursor_mz").collect()] == [0.0, 500.5, 600.0]
 
 
+def test_mgf_in_splits(spark, tmp_path):
+    """Untitled spectra keep names of their own when a file is read in many splits; markers of any case on request."""
+    text = "".join(f"BEGIN IONS\nPEPMASS={500 + i}\n{100 + i} 1\nEND IONS\n" for i in range(200))
+    path = put(tmp_path, "a.mgf", text)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        df = spectra.read_mgf(spark, path)
+        assert df.rdd.getNumPartitions() >= 1
+        assert sorted((r["ordinal"], r["title"], r["precursor_mz"]) for r in df.collect()) == [(i, f"query_{i}", 500.0 + i) for i in range(200)]
+        lines = records.numbered_records(spark, put(tmp_path, "x.txt", "".join(f"{i}\n" for i in range(1000))))
+        assert sorted((r["ordinal"], r["value"]) for r in lines.collect()) == [(i, str(i)) for i in range(1000)]
+        fq = put(tmp_path, "s.fq", "".join(f"@r{i}\nACGT\n+\n@III\n" for i in range(150)))
+        assert sorted((r["ordinal"], r["id"], r["seq"], r["quality"]) for r in genomics.read_fastq(spark, fq, strict=True).collect()) == [(i, f"r{i}", "ACGT", "@III") for i in range(150)]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    low = put(tmp_path, "b.mgf", text.lower().replace("pepmass", "PEPMASS"))
+    assert spectra.read_mgf(spark, low, any_case=True).count() == 200
+
+
+def test_graph_arrays_round_trip(spark, tmp_path):
+    tiny = "8 7\n0\n1\n2\n3\n4\n5\n6\n0\n0\n1\n2\n3\n4\n5\n6\n7\n1\n2\n3\n4\n5\n6\n7\n0\n1\n2\n3\n4\n5\n6\n7\n7\nA\nC\nG\nT\nA\nC\nG\nT\n"
+    g = genomics.read_graph_arrays(spark, put(tmp_path, "t.graph", tiny)).orderBy("vertex").collect()
+    assert [(r["label"], r["sources"], r["targets"]) for r in g] == [("ACGT"[i % 4], [i - 1] if i else [], [i + 1] if i < 7 else []) for i in range(8)]
+    nodes = spark.createDataFrame([(i, c) for i, c in enumerate("ACXTG")], "v long, b string")
+    edges = spark.createDataFrame([(0, 1), (0, 2), (1, 3), (2, 3)], "s long, t long")
+    lines = sinks.graph_array_lines(nodes, "v", "b", edges, "s", "t")
+    out = str(tmp_path / "g")
+    sinks.write_lines(lines, out, F.col("value"), [F.col("section"), F.col("place"), F.col("other")], one_file=True)
+    back = genomics.read_graph_arrays(spark, out).orderBy("vertex").collect()
+    assert [(r["label"], r["sources"], r["targets"]) for r in back] == [("A", [], [1, 2]), ("C", [0], [3]), ("N", [0], [3]), ("T", [1, 2], []), ("G", [], [])]
+    linear = sinks.graph_array_lines(spark.createDataFrame([(i, "ACGT"[i % 4]) for i in range(8)], "v long, b string"), "v", "b", spark.createDataFrame([(i, i + 1) for i in range(7)], "s long, t long"), "s", "t")
+    assert "\n".join(r["value"] for r in linear.orderBy("section", "place", "other").collect()) + "\n" == tiny
+
+
+def test_vector_archives(spark, tmp_path):
+    import numpy as np
+
+    np.savez(tmp_path / "z2.npz", data=np.array([1.0, 2.0, 3.0]), indices=np.array([5, 7, 5]), indptr=np.array([0, 2, 2, 3]), ids=np.array([10, 11, 12]))
+    assert sorted((r["id"], r["bin"], r["value"]) for r in spectra.read_vector_archive(spark, str(tmp_path / "z2.npz")).collect()) == [(10, 5, 1.0), (10, 7, 2.0), (12, 5, 3.0)]
+    data = np.random.default_rng(1).integers(0, 256, (50, 16), np.uint8)
+    data.tofile(tmp_path / "hv.bin")
+    got = spectra.read_vector_file(spark, str(tmp_path / "hv.bin"), 16, 50, 3).orderBy("id").collect()
+    assert [(r["id"], bytes(r["hv"])) for r in got] == [(i, data[i].tobytes()) for i in range(50)]
+
+
 def test_mgf_round_trip(spark, tmp_path):
     s = spectra.read_mgf(spark, put(tmp_path, "a.mgf", MGF))
     out = str(tmp_path / "out")
@@ -65,6 +112,11 @@ def test_library(spark, tmp_path):
     a = df.where("id = 1").select(F.transform("peaks", lambda p: spectra.ion_annotation(p["annotation"]))).first()[0]
     assert tuple(a[0]) == ("y", 5, 2) and a[1] is None
     assert spectra.cached_library(spark, path, str(tmp_path / "cache"), {"bin": 0.05}).count() == 2
+    index = spectra.library_index(spark, path, str(tmp_path / "cache"), {"bin": 0.05})
+    assert [(r["id"], r["charge"], r["precursor_mz"]) for r in index.orderBy("id").collect()] == [(1, 2, 400.5), (2, 3, 300.25)]
+    assert [(r["id"], r["peptide"], len(r["peaks"])) for r in spectra.library_at(spark, index.where("id = 2")).collect()] == [(2, "DECOY", 0)]
+    spectra.write_library(path, [(5, "NEW", 2, 1.5, False, [])])
+    assert [r["id"] for r in spectra.library_index(spark, path, str(tmp_path / "cache"), {"bin": 0.05}).collect()] == [5]
 
 
 def test_sequences_and_graphs(spark, tmp_path):
@@ -102,8 +154,23 @@ def test_logs(spark, tmp_path):
     assert metrics.read_settings(put(tmp_path, "s.ini", "[a]\nx = 1\n")) == {"a": {"x": "1"}}
     p = metrics.read_power(spark, put(tmp_path, "w.csv", "2024/01/01 00:00:01.000, 0, 55.5 W, 100 MiB\nshort, 1\n")).first()
     assert (p["watts"], p["memory_mib"]) == (55.5, 100.0)
-    c = metrics.read_copy_summary(spark, put(tmp_path, "n.txt", "10 [CUDA memcpy HtoD] 4,096\n5 [CUDA memcpy HtoD] 2048\n")).first()
-    assert (c["direction"], c["copies"], c["bytes"], c["time_ns"]) == ("HTOD", 2, 6144.0, 15.0)
+    report = """ ** GPU MemOps Summary (by Time)
+ Time (%)  Total Time (ns)  Count            Operation
+ --------  ---------------  -----  ----------------------------
+     75.0            1,500      2  [CUDA memcpy Host-to-Device]
+     25.0              500      1  [CUDA memcpy DtoH]
+
+ Total (MB)  Count            Operation
+ ----------  -----  ----------------------------
+      4.096      2  [CUDA memcpy Host-to-Device]
+
+ Total Time (ns)  Instances     Name
+ ---------------  ---------  -----------
+              70          3  encode(int)
+"""
+    path = put(tmp_path, "n.txt", report)
+    assert sorted(tuple(r) for r in metrics.read_copy_summary(spark, path).collect()) == [("DTOH", 1, None, 500.0), ("HTOD", 2, pytest.approx(4_096_000.0), 1500.0)]
+    assert [tuple(r) for r in metrics.read_kernel_times(spark, path).collect()] == [("encode(int)", 3, 70.0)]
 
 
 def test_tables(spark, tmp_path):
