@@ -3,21 +3,22 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixlake.operators.heavykeys import canonical_kmer, canonical_node, eager_join_sums, heavy_keys, key_counts
+from helixlake.operators.heavykeys import canonical_kmer, canonical_node, eager_join_sums, heavy_keys, key_counts, written_counts
 from helixlake.sources.tables import table
 
 
-def _hit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return key_counts(table(spark, sf_dir, "minimizer_hits"), "hit_id", {"kmer": canonical_kmer, "node_id": canonical_node})
+FORMS = {"kmer": canonical_kmer, "node_id": canonical_node}
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    total = table(spark, sf_dir, "minimizer_hits").select("hit_id").where("hit_id IS NOT NULL").distinct().count()
-    return heavy_keys(_hit_counts(spark, sf_dir), total).select("key_field", "key_value")
+    hits = table(spark, sf_dir, "minimizer_hits")
+    counted = written_counts(hits, "hit_id", list(FORMS))
+    total = counted.where("key_field IS NULL").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    return heavy_keys(key_counts(hits, "hit_id", FORMS, counted), total).select("key_field", "key_value")
 
 
 def p4_key_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _hit_counts(spark, sf_dir)
+    return key_counts(table(spark, sf_dir, "minimizer_hits"), "hit_id", FORMS)
 
 
 def p4_anchor_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
