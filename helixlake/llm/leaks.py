@@ -41,7 +41,7 @@ def words_of(text: str) -> list[str]:
         text = BROKEN.sub("", text)
     text = text.casefold()
     found = WORD.findall(text)
-    return [JOINERS.sub("", w) for w in found] if "-" in text or "'" in text or "’" in text else found
+    return [w if w.isalnum() else JOINERS.sub("", w) for w in found] if "-" in text or "'" in text or "’" in text else found
 
 
 def shingle_hashes(ids: np.ndarray) -> np.ndarray:
