@@ -1,6 +1,6 @@
 """Buckets of spectra by charge and m/z: members, pair counts and their costs."""
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from helixlake.operators.bandjoin import bucket_key
@@ -17,6 +17,12 @@ def surrogate_labels(df: DataFrame, charge: Column, value: Column, width: float,
     return df.withColumn(out, label)
 
 
+def truncated(df: DataFrame, keys: list[Column], order: list[Column], most: int) -> DataFrame:
+    """The first `most` rows of every bucket in order: a limit some comparisons put on buckets; use it only to repeat those."""
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    return df.withColumn("_place", place).where(F.col("_place") <= most).drop("_place")
+
+
 def pair_survival(sizes: DataFrame) -> DataFrame:
     """One row from (n): spectra, all pairs, pairs inside buckets, survival ratio (0 without pairs) and reduction in percent."""
     pairs = lambda n: F.floor(n * (n - 1) / 2).cast("long")

@@ -172,6 +172,8 @@ def filtered_similarity(pairs: DataFrame, a: Column, b: Column, words: int, bits
     """Pairs that may reach `threshold`, with their similarity of all `dim` bits. The first `words` words of both vectors are
     compared for every pair, the others only where equal bits so far and all bits left could still make it."""
     n = words * bits_a_word
+    if dim % 8 or words < 0 or bits_a_word < 1 or n > dim:
+        raise ValueError(f"{words} words of {bits_a_word} bits don't fit {dim} bits, a multiple of 8")
     equal = lambda x, y, bits: F.lit(bits) - F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, v: s + v)
     kept = coarse_filter(pairs.withColumn("_part", equal(F.slice(a, 1, words), F.slice(b, 1, words), n)), "_part", n, dim, threshold)
     rest = equal(F.slice(a, words + 1, 2**30), F.slice(b, words + 1, 2**30), dim - n)

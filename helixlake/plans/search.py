@@ -3,9 +3,11 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixlake.functions import bits
+from helixlake.functions import bits, scalars
 from helixlake.operators import bandjoin, hypervectors, metrics, ordered, search
+from helixlake.plans.lineage import materialise
 from helixlake.plans.spectra import SPECTRA, spectra
+from helixlake.sources.metrics import read_search_output
 from helixlake.sources.tables import table
 
 
@@ -127,6 +129,27 @@ def band_join_ppm(spark, d):
     return _band(spark, d, F.col("query_mz") * 20e-6, 0.05).groupBy("spectrum_id").agg(F.count(F.lit(1)).alias("candidates"), F.min("library_id").alias("first_id"))
 
 
+def merged_candidates(spark, d):
+    """Candidates within 0.5 m/z of every spectrum, for its charge and one more, unknown charges tried as 2 and as 3; one that several charges give counts once."""
+    s = scalars.charge_rows(spectra(spark, d).where("precursor_mz > 0"), "precursor_charge").select("spectrum_id", F.col("precursor_charge").alias("charge"), F.col("precursor_mz").alias("query_mz"))
+    near = s.select("spectrum_id", F.explode(F.array(F.col("charge"), F.col("charge") + 1)).alias("charge"), "query_mz")
+    lib = table(spark, d, "library_spectra").select("library_id", "charge", F.col("precursor_mz").alias("library_mz"))
+    found = bandjoin.band_join(near, lib, "query_mz", "library_mz", F.lit(0.5), 1.0, ["charge"]).select("spectrum_id", "library_id").distinct()
+    return found.groupBy("spectrum_id").agg(F.count(F.lit(1)).alias("candidates"))
+
+
+def file_cascade(spark, standard: str, opened: str, library: DataFrame, fdr: float):
+    """The cascade over search output in files: the rows of the highest score of each query (then the first library id), joined
+    to the library's (library_id, is_decoy); rows without a library hit are left out."""
+
+    def best(path):
+        rows = read_search_output(spark, path).where("library_id >= 0 AND score IS NOT NULL").select(F.col("query_idx").alias("query"), F.col("library_id").alias("item"), "score")
+        top = search.group_max_with_ties(rows.distinct(), ["query"], "score")
+        return search.best_hits(top, "query", "item", "score").join(library.select(F.col("library_id").alias("item"), "is_decoy"), "item")
+
+    return search.cascade(best(standard), best(opened), "query", "score", "is_decoy", fdr).select("stage", "query", "item", "score")
+
+
 def open_candidates(spark, d):
     """Candidates within 500 Da of every spectrum whose id is divisible by 50; unknown charges meet the whole library."""
     s = spectra(spark, d).where("spectrum_id % 50 = 0 AND precursor_mz > 0").select("spectrum_id", "precursor_charge", F.col("precursor_mz").alias("query_mz"))
@@ -155,8 +178,6 @@ def _sweep(spark, d):
 
 def coarse_filter_sweep(spark, d):
     """Survivors and kept top-8 hits for every threshold and number of examined segments of 56 bits."""
-    from helixlake.plans.lineage import materialise
-
     pairs = materialise(_sweep(spark, d), "sweep")
     exact = metrics.placed(pairs, ["query"], [F.desc("similarity"), F.col("item")]).where("place <= 8")
     long = pairs.select("query", "item", F.explode(F.array(*(F.struct(F.lit(n).alias("segments"), F.col(f"partial_{n}").alias("partial")) for n in SEGMENTS))).alias("p")).select("query", "item", "p.*")
@@ -169,6 +190,14 @@ def coarse_filter_sweep(spark, d):
     return out.select("segments", "threshold", "unfiltered", "surviving", "exact", "retained", "first_retained", F.round(hypervectors.candidate_reduction(F.col("unfiltered"), F.col("surviving")), 6).alias("reduction"), F.round(F.col("retained") / F.col("exact"), 6).alias("recall"))
 
 
+def top_recall(spark, d):
+    """What the filter of 16 segments and threshold 1,500 keeps of every query's 8 best."""
+    pairs = materialise(_sweep(spark, d), "sweep")
+    exact = metrics.placed(pairs, ["query"], [F.desc("similarity"), F.col("item")]).where("place <= 8")
+    r = metrics.recall_of_top(exact, hypervectors.coarse_filter(pairs, "partial_16", 16 * 56, 2048, F.lit(1500)), "query", "item", 8)
+    return r.select("exact", "retained", *(F.round(c, 6).alias(c) for c in ("full_query_recall", "top1_recall", "mean_retained")))
+
+
 def sweep_choice(spark, d):
     return ordered.best_setting(coarse_filter_sweep(spark, d).select("segments", "threshold", "reduction", "recall").where("segments = 16"), "recall", "reduction", 0.99)
 
@@ -213,7 +242,7 @@ def open_stage_membership(spark, d):
     return best.select("query_spectrum").join(first, "query_spectrum", "left").select("query_spectrum", F.col("done").isNull().alias("open"))
 
 
-QUERIES = {f.__name__: f for f in (search_best_hits, search_margins, group_max_ties, score_summary, candidate_summary, fdr_qvalues, fdr_by_charge, search_cascade, mass_differences, grouped_cascade, stage_counts, engine_counts, retry_queries, band_join_abs, band_join_ppm, open_candidates, coarse_filter_sweep, sweep_choice, sweep_deltas, sweep_thresholds, coarse_filtered_hits, vector_search, open_stage_membership)}
+QUERIES = {f.__name__: f for f in (search_best_hits, search_margins, group_max_ties, score_summary, candidate_summary, fdr_qvalues, fdr_by_charge, search_cascade, mass_differences, grouped_cascade, stage_counts, engine_counts, retry_queries, band_join_abs, band_join_ppm, open_candidates, coarse_filter_sweep, top_recall, merged_candidates, sweep_choice, sweep_deltas, sweep_thresholds, coarse_filtered_hits, vector_search, open_stage_membership)}
 
 _STD = IDENT + ", std AS (SELECT * FROM best WHERE stage = 'standard'), opn AS (SELECT * FROM best WHERE stage = 'open'), " + _fdr_sql("sq", "std")
 _CASCADE = _STD + ", acc AS (SELECT * FROM sq WHERE NOT is_decoy AND q <= 0.05), rest AS (SELECT * FROM opn WHERE query_spectrum NOT IN (SELECT query_spectrum FROM acc)), " + _fdr_sql("oq", "rest") + """,
@@ -257,6 +286,10 @@ ORDER BY recall >= 0.99 DESC, CASE WHEN recall >= 0.99 THEN reduction ELSE recal
     "sweep_deltas": f"""WITH {_SWEEP}, w AS (SELECT threshold, reduction, recall, reduction - lag(reduction) OVER (ORDER BY threshold) AS g, lag(recall) OVER (ORDER BY threshold) - recall AS x FROM sweep WHERE segments = 16)
 SELECT threshold, reduction, recall, CASE WHEN g > 0 THEN round(x / g, 4) END AS marginal FROM w""",
     "sweep_thresholds": f"""WITH {_SWEEP}, {_FIFTH} SELECT DISTINCT floor(t)::BIGINT AS threshold FROM (SELECT unnest(quantile_cont(similarity::DOUBLE, [0.01, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99])) AS t FROM fifth) WHERE t IS NOT NULL""",
+    "top_recall": f"""WITH {_SWEEP}, k AS (SELECT query, count(*) AS n, count(*) FILTER (partial_16 + 2048 - 896 >= 1500) AS kept, max(CASE WHEN place = 1 THEN (partial_16 + 2048 - 896 >= 1500)::INT END) AS first FROM ranked WHERE place <= 8 GROUP BY 1)
+SELECT sum(n)::BIGINT AS exact, sum(kept)::BIGINT AS retained, round(avg((kept = n)::INT), 6) AS full_query_recall, round(avg(first), 6) AS top1_recall, round(avg(kept), 6) AS mean_retained FROM k""",
+    "merged_candidates": f"""WITH {_LIB}, x AS (SELECT spectrum_id, precursor_mz, unnest(CASE WHEN precursor_charge IS NULL THEN [2, 3, 4] ELSE [precursor_charge, precursor_charge + 1] END) AS z FROM q)
+SELECT spectrum_id, count(DISTINCT library_id) AS candidates FROM x JOIN library_spectra l ON l.charge = z AND l.precursor_mz BETWEEN x.precursor_mz - 0.5::DOUBLE AND x.precursor_mz + 0.5::DOUBLE GROUP BY 1""",
     "coarse_filtered_hits": f"""WITH {_SWEEP}, {_FIFTH} SELECT query, item, similarity::BIGINT AS similarity FROM pairs WHERE similarity >= (SELECT floor(quantile_cont(similarity::DOUBLE, 0.01)) FROM fifth)""",
     "vector_search": f"""WITH {_SWEEP}, c AS (SELECT q.spectrum_id AS query, r.spectrum_id AS item, 2048 - bit_count(xor(q.b, r.b)) AS score FROM v q JOIN v r ON q.charge = r.charge AND r.mz BETWEEN q.mz - q.mz * 500e-6::DOUBLE AND q.mz + q.mz * 500e-6::DOUBLE WHERE q.spectrum_id % 50 = 0 AND r.spectrum_id % 50 <> 0),
 h AS (SELECT DISTINCT ON (query) query, item, score, item % 2 = 1 AS is_decoy FROM c ORDER BY query, score DESC, item), {_fdr_sql("x", "h")} SELECT query, item, score::BIGINT AS similarity, is_decoy, round(q, 9) AS q FROM x""",

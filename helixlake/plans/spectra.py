@@ -38,6 +38,12 @@ def bucket_statistics(spark, d):
     return buckets.bucket_statistics(_sizes(spark, d), 5).withColumn("mean_size", F.round("mean_size", 6))
 
 
+def truncated_buckets(spark, d):
+    """Spectra left when every bucket of charge and 5 m/z keeps its first five by id."""
+    s = spectra(spark, d).select("spectrum_id", F.coalesce("precursor_charge", F.lit(0)).alias("charge"), F.floor(F.coalesce("precursor_mz", F.lit(0.0)) / 5).alias("bucket"))
+    return buckets.truncated(s, [F.col("charge"), F.col("bucket")], [F.col("spectrum_id")], 5).select("spectrum_id", "charge", "bucket")
+
+
 def surrogate_clusters(spark, d):
     return buckets.surrogate_labels(spectra(spark, d), F.col("precursor_charge"), F.col("precursor_mz"), 3.0).groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
 
@@ -148,13 +154,14 @@ def hv_encoded(spark, d):
     return out
 
 
-QUERIES = {f.__name__: f for f in (bucket_pair_reduction, bucket_statistics, surrogate_clusters, truncating_buckets, unknown_charge_rows, common_charges, precursor_fallback, valid_spectra, strongest_peaks, scaled_intensities, normalised_peaks, rounded_peak_sums, sparse_binning, precursor_peaks_removed, spectrum_names, peptide_labels, hv_signs, hv_distance_to_next, hv_top_k, hv_encoded)}
+QUERIES = {f.__name__: f for f in (bucket_pair_reduction, bucket_statistics, truncated_buckets, surrogate_clusters, truncating_buckets, unknown_charge_rows, common_charges, precursor_fallback, valid_spectra, strongest_peaks, scaled_intensities, normalised_peaks, rounded_peak_sums, sparse_binning, precursor_peaks_removed, spectrum_names, peptide_labels, hv_signs, hv_distance_to_next, hv_top_k, hv_encoded)}
 
 _BITS = "bits AS (SELECT vec_id, list_transform(embedding, lambda x: CASE WHEN x >= 0 THEN 1 ELSE 0 END) AS b FROM embeddings)"
 SQL = {
     "bucket_pair_reduction": f"""WITH {SIZES}, t AS (SELECT sum(n)::BIGINT AS spectra, sum(n * (n - 1) // 2)::BIGINT AS candidate_pairs FROM sizes), u AS (SELECT *, (spectra * (spectra - 1) // 2)::BIGINT AS all_pairs FROM t)
 SELECT spectra, candidate_pairs, all_pairs, round(candidate_pairs::DOUBLE / all_pairs, 9) AS survival_ratio, round(100.0::DOUBLE * (1 - candidate_pairs::DOUBLE / all_pairs), 6) AS reduction_percent FROM u""",
     "bucket_statistics": f"WITH {SIZES} SELECT count(*) AS buckets, max(n) AS largest, round(avg(n), 6) AS mean_size, sum(CASE WHEN n > 5 THEN 1 ELSE 0 END)::BIGINT AS overflowing FROM sizes",
+    "truncated_buckets": f"WITH {SPECTRA} SELECT spectrum_id, coalesce(precursor_charge, 0) AS charge, floor(coalesce(precursor_mz, 0) / 5)::BIGINT AS bucket FROM spec QUALIFY row_number() OVER (PARTITION BY charge, bucket ORDER BY spectrum_id) <= 5",
     "surrogate_clusters": f"WITH {SPECTRA} SELECT 'z' || coalesce(precursor_charge, 0) || '_b' || trunc(coalesce(precursor_mz, 0) / 3)::BIGINT AS cluster, count(*) AS n FROM spec GROUP BY ALL",
     "truncating_buckets": "SELECT floor(c_acctbal / 100)::BIGINT AS floored, trunc(c_acctbal / 100)::BIGINT AS truncated, count(*) AS n FROM customer GROUP BY ALL",
     "unknown_charge_rows": f"""WITH {SPECTRA}, x AS (SELECT unnest(CASE WHEN precursor_charge IS NULL THEN [2, 3] ELSE [precursor_charge] END) AS precursor_charge, precursor_mz FROM spec WHERE precursor_mz <= 2000)

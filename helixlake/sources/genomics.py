@@ -74,6 +74,11 @@ def read_fastq(spark: SparkSession, path: str, strict: bool = False) -> DataFram
     return raw.mapInPandas(parse, FASTQ_SCHEMA)
 
 
+def first_records(records: DataFrame, n: int) -> DataFrame:
+    """The first `n` records of every file, by their numbers."""
+    return records.where(F.col("ordinal") < n)
+
+
 def read_sequences(spark: SparkSession, path: str) -> DataFrame:
     """(id, seq) of a FASTA or FASTQ file, told apart by its first character."""
     first = spark.read.text(path).where(F.trim("value") != "").first()

@@ -65,6 +65,11 @@ def fastq_line(name: Column, seq: Column, quality: Column) -> Column:
     return F.concat(F.lit("@"), name, F.lit("\n"), seq, F.lit("\n+\n"), quality)
 
 
+def alternating_lines(name: Column, seq: Column) -> Column:
+    """A read as a line of its name and one of its sequence."""
+    return F.concat(name, F.lit("\n"), seq)
+
+
 def graph_array_lines(nodes: DataFrame, vertex: str, label: str, edges: DataFrame, source: str, target: str) -> DataFrame:
     """(section, place, other, value): the lines of a graph as sparse arrays, in that order (see `read_graph_arrays`).
 

@@ -85,6 +85,26 @@ def test_graph_arrays_round_trip(spark, tmp_path):
     assert "\n".join(r["value"] for r in linear.orderBy("section", "place", "other").collect()) + "\n" == tiny
 
 
+def test_heads_and_conversion(spark, tmp_path):
+    fq = put(tmp_path, "h.fq", "".join(f"@r{i}\nAC{'GT'[i % 2]}\n+\nIII\n" for i in range(9)))
+    head = genomics.first_records(genomics.read_fastq(spark, fq, strict=True), 4)
+    out = str(tmp_path / "reads")
+    sinks.write_lines(head, out, sinks.alternating_lines(F.col("id"), F.col("seq")), [F.col("ordinal")], one_file=True)
+    assert [(r["ordinal"], r["id"], r["seq"]) for r in genomics.read_alternating_reads(spark, out).orderBy("ordinal").collect()] == [(i, f"r{i}", f"AC{'GT'[i % 2]}") for i in range(4)]
+    again = str(tmp_path / "again")
+    sinks.write_lines(head, again, sinks.fastq_line(F.col("id"), F.col("seq"), F.col("quality")), [F.col("ordinal")], one_file=True)
+    assert genomics.read_fastq(spark, again).count() == 4
+
+
+def test_cascade_over_files(spark, tmp_path):
+    from helixlake.plans.search import file_cascade
+
+    a = put(tmp_path, "std.tsv", "1\t2\t10\t2\t9.0\n1\t2\t11\t2\t9.0\n2\t2\t12\t2\t8.0\n3\t2\t-1\t2\t99\n4\t2\t13\t2\t1.0\n")
+    b = put(tmp_path, "open.tsv", "1\t2\t10\t2\t9.0\n3\t2\t11\t2\t7.0\n4\t2\t12\t2\t6.0\n")
+    lib = spark.createDataFrame([(10, False), (11, False), (12, False), (13, True)], "library_id long, is_decoy boolean")
+    assert sorted(tuple(r) for r in file_cascade(spark, a, b, lib, 0.1).collect()) == [("open", 3, 11, 7.0), ("open", 4, 12, 6.0), ("standard", 1, 10, 9.0), ("standard", 2, 12, 8.0)]
+
+
 def test_vector_archives(spark, tmp_path):
     import numpy as np
 
