@@ -2,6 +2,7 @@
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -230,24 +231,51 @@ def align_local(reads: DataFrame, read: str, seq: str, near: DataFrame, nodes: D
 def read_chains(anchors: DataFrame, read: str, query_pos: str, node: str, node_pos: str, rank: str, k: int) -> DataFrame:
     """(read, anchors, chained, score): the best chain of every read's distinct anchors, hops between nodes by their ranks.
 
-    One group is one read, whose anchors its length bounds. Anchors with a null are left out, except for the rank: without one
-    a node is only linked to itself.
+    Rows are partitioned and sorted by read and streamed through in batches; only one read's anchors, which its length bounds,
+    are carried from a batch to the next. Anchors with a null are left out, except for the rank: without one a node is only
+    linked to itself.
     """
-    rows = anchors.select(F.col(read).alias("r"), F.col(query_pos).cast("long").alias("q"), F.col(node).alias("n"), F.col(node_pos).cast("long").alias("p"), F.coalesce(F.col(rank).cast("long"), F.lit(-1)).alias("k"))
-    rows = rows.where("r IS NOT NULL AND q IS NOT NULL AND n IS NOT NULL AND p IS NOT NULL").distinct()
+    rows = anchors.select(F.col(read).alias("r"), F.col(query_pos).cast("long").alias("q"), F.col(node).cast("string").alias("n"), F.col(node_pos).cast("long").alias("p"), F.coalesce(F.col(rank).cast("long"), F.lit(-1)).alias("k"))
+    rows = rows.where("r IS NOT NULL AND q IS NOT NULL AND n IS NOT NULL AND p IS NOT NULL").repartition("r").distinct()
+    kind = dict(rows.dtypes)["r"]
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        names, number = np.unique(pdf["n"].to_numpy(str), return_inverse=True)
-        q, p, r = pdf["q"].to_numpy(), pdf["p"].to_numpy(), pdf["k"].to_numpy()
-        by = np.lexsort((number, p, np.where(r < 0, np.iinfo(np.int64).max, r), q))
-        ranks = np.full(len(names), -1, np.int64)
-        ranks[number] = r
+    def best(q, number, p, ranks):
+        _, local = np.unique(number, return_inverse=True)
+        of = np.empty(local.max() + 1, np.int64)
+        of[local] = ranks
 
         def steps(a, b):
-            d = ranks[b][None, :] - ranks[a][:, None]
-            return np.where((d >= 0) & (ranks[a][:, None] >= 0), np.maximum(d, 1), -1)
-
-        score, used = chain(q[by], number[by], p[by], k, steps)
-        return pd.DataFrame([(pdf["r"].iloc[0], len(pdf), len(used), score)], columns=["r", "anchors", "chained", "score"])
-
-    return rows.groupBy("r").applyInPandas(run, f"r {dict(rows.dtypes)['r']}, anchors long, chained long, score double").withColumnRenamed("r", read)
+            d = of[b][None, :] - of[a][:, None]
+            return np.where((d >= 0) & (of[a][:, None] >= 0), np.maximum(d, 1), -1)
+
+        score, used = chain(q, local, p, k, steps)
+        return len(used), score
+
+    def scored(tbl: pa.Table) -> pa.RecordBatch:
+        """One row for each read of a table of whole reads."""
+        tbl = tbl.combine_chunks()
+        number = tbl.column("n").chunk(0).dictionary_encode().indices.to_numpy()
+        q, p, ranks = (tbl.column(c).to_numpy() for c in "qpk")
+        code = tbl.column("r").chunk(0).dictionary_encode().indices.to_numpy()
+        start = np.flatnonzero(np.r_[True, np.diff(code) != 0])
+        ends = np.r_[start[1:], len(code)]
+        found = [best(q[a:b], number[a:b], p[a:b], ranks[a:b]) for a, b in zip(start, ends, strict=True)]
+        return pa.RecordBatch.from_arrays([tbl.column("r").chunk(0).take(pa.array(start)), pa.array(ends - start), pa.array([n for n, _ in found], pa.int64()), pa.array([s for _, s in found], pa.float64())], names=["r", "anchors", "chained", "score"])
+
+    def run(batches):
+        held = None
+        for batch in batches:
+            tbl = pa.Table.from_batches([batch] if held is None else [*held.to_batches(), batch])
+            if not tbl.num_rows:
+                continue
+            code = tbl.column("r").combine_chunks().dictionary_encode()
+            code = (code.chunk(0) if isinstance(code, pa.ChunkedArray) else code).indices.to_numpy()
+            cut = int(np.flatnonzero(np.r_[True, np.diff(code) != 0])[-1])
+            if cut:
+                yield scored(tbl.slice(0, cut))
+            held = tbl.slice(cut)
+        if held is not None and held.num_rows:
+            yield scored(held)
+
+    ordered = rows.sortWithinPartitions("r", "q", F.when(F.col("k") >= 0, F.col("k")).asc_nulls_last(), "p", "n")
+    return ordered.mapInArrow(run, f"r {kind}, anchors long, chained long, score double").withColumnRenamed("r", read)
