@@ -116,6 +116,53 @@ def _rows(column, n_bytes: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, n_bytes // 8)
 
 
+def _differing(a: np.ndarray, b: np.ndarray, room: list[np.ndarray]) -> np.ndarray:
+    """(rows of a, columns of b) differing bits of `a` (n, words) and `b` (words, m); the result lies in `room` until the next call."""
+    x, ones, few, out = (r[: len(a), : b.shape[1]] for r in room)
+    out[:] = 0
+    for at in range(0, len(b), 3):
+        # three words differ in 192 bits at most, which one byte holds
+        for w in range(at, min(at + 3, len(b))):
+            np.bitwise_xor(a[:, w, None], b[None, w], out=x)
+            np.bitwise_count(x, out=few if w == at else ones)
+            if w > at:
+                np.add(few, ones, out=few)
+        np.add(out, few, out=out)
+    return out
+
+
+def nearest_rows(vec: np.ndarray, batches, k: int, n_bytes: int, tile: int = 4096, rows: int = 64) -> tuple[np.ndarray, np.ndarray]:
+    """(items, distances), a row for every row of `vec` (n, words): its k rows of (item, vector) batches, or all if there are fewer,
+    with the fewest differing bits, then smallest item. Compared are `rows` x `tile` vectors at a time, and only
+    pairs that enter a query's list leave that square, so what is held beyond the lists depends on neither input's size."""
+    bits = 8 * n_bytes
+    kind = np.min_scalar_type(bits + 1)
+    best_d, best_i, width = np.empty((len(vec), 0), kind), np.empty((len(vec), 0), np.int64), 0
+    room = [np.empty((rows, tile), t) for t in (np.uint64, np.uint8, np.uint8, kind)]
+    for batch in batches:
+        items, refs = batch.column(0).to_numpy(), _rows(batch.column(1), n_bytes)
+        for t in range(0, len(items) if k > 0 else 0, tile):
+            names, turned = items[t : t + tile], np.ascontiguousarray(refs[t : t + tile].T)
+            free = ((0, 0), (0, min(k - width, len(names))))  # filled by this tile
+            best_d, best_i = np.pad(best_d, free, constant_values=bits + 1), np.pad(best_i, free, constant_values=np.iinfo(np.int64).max)
+            width = best_d.shape[1]
+            for at in range(0, len(vec), rows):
+                d = _differing(vec[at : at + rows], turned, room)
+                old_d, old_i = best_d[at : at + rows], best_i[at : at + rows]
+                last, name = old_d[:, -1], old_i[:, -1]
+                if len(names) > width and last.max() > bits:
+                    last = np.minimum(last, np.partition(d, width - 1, axis=1)[:, width - 1])
+                i, j = np.nonzero(d <= last[:, None])
+                ok = (d[i, j] < old_d[i, -1]) | (names[j] < name[i])
+                i, j = i[ok], j[ok]
+                if len(i):
+                    who, far, what = np.concatenate([np.repeat(np.arange(len(d)), width), i]), np.concatenate([old_d.ravel(), d[i, j]]), np.concatenate([old_i.ravel(), names[j]])
+                    by = np.lexsort((what, far, who))
+                    by = by[np.arange(len(by)) - np.searchsorted(who[by], who[by]) < width]
+                    best_d[at : at + rows], best_i[at : at + rows] = far[by].reshape(-1, width), what[by].reshape(-1, width)
+    return best_i, best_d
+
+
 def top_k(df: DataFrame, queries: DataFrame, id_col: str, hv_col: str, k: int, n_bytes: int, least: int | None = None, tile: int = 4096) -> DataFrame:
     """(query, item, similarity, place): the k rows of highest Hamming similarity (equal bits) to every query, then smallest id.
 
@@ -133,22 +180,11 @@ def top_k(df: DataFrame, queries: DataFrame, id_col: str, hv_col: str, k: int, n
 
         def scan(batches, data=data):
             ids, vec = data.value
-            best_s, best_i = np.empty((len(ids), 0), np.int64), np.empty((len(ids), 0), np.int64)
-            for batch in batches:
-                items, refs = batch.column(0).to_numpy(), _rows(batch.column(1), n_bytes)
-                for at in range(0, len(items), tile):
-                    r, t = refs[at : at + tile], items[at : at + tile]
-                    sim = np.zeros((len(ids), len(t)), np.int64)
-                    for w in range(n_bytes // 8):
-                        sim -= np.bitwise_count(vec[:, w, None] ^ r[None, :, w])
-                    sim += n_bytes * 8
-                    s = np.concatenate([best_s, sim], axis=1)
-                    i = np.concatenate([best_i, np.broadcast_to(t, sim.shape)], axis=1)
-                    by = np.lexsort((i, -s), axis=1)[:, :k]
-                    best_s, best_i = np.take_along_axis(s, by, 1), np.take_along_axis(i, by, 1)
-            n = best_s.shape[1]
-            if n:
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, n)), pa.array(best_i.ravel()), pa.array(best_s.ravel().astype(np.int32))], names=["query", "item", "similarity"])
+            found, far = nearest_rows(vec, batches, k, n_bytes, tile)
+            for at in range(0, len(ids), 1024):
+                part = found[at : at + 1024]
+                who, same = np.repeat(ids[at : at + 1024], part.shape[1]), 8 * n_bytes - far[at : at + 1024].astype(np.int32).ravel()
+                yield pa.RecordBatch.from_arrays([pa.array(who), pa.array(part.ravel()), pa.array(same)], names=["query", "item", "similarity"])
 
         part = rows.mapInArrow(scan, "query long, item long, similarity int")
         out = part if out is None else out.unionByName(part)

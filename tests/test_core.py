@@ -2,8 +2,10 @@
 
 import itertools
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -208,6 +210,26 @@ def test_exact_top_k(spark):
     assert hypervectors.top_k(df.limit(0), q, "id", "hv", 5, 8).count() == 0
 
 
+def test_top_k_holds_no_square_of_all_queries():
+    """Lists equal the definition, with equal vectors and short batches, and what is held doesn't follow the number of queries."""
+    rng = np.random.default_rng(3)
+    vec, refs = rng.integers(0, 256, (3000, 16), np.uint8), rng.integers(0, 256, (6000, 16), np.uint8)
+    refs[2000:5000] = refs[7]
+    vec[:50] = refs[7]
+    items = rng.permutation(6000)
+    batches = [pa.RecordBatch.from_arrays([pa.array(items[a:b]), pa.array([r.tobytes() for r in refs[a:b]], pa.binary())], names=["item", "hv"]) for a, b in ((0, 3), (3, 3), (3, 4500), (4500, 6000))]
+    tracemalloc.start()
+    got, far = hypervectors.nearest_rows(vec.view(np.uint64), batches, 10, 16)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 3000 * 4096 * 8 / 4
+    for q in [*range(60), *range(60, 3000, 97)]:
+        d = np.bitwise_count(vec[q] ^ refs).sum(axis=1)
+        by = np.lexsort((items, d))[:10]
+        assert got[q].tolist() == items[by].tolist() and far[q].tolist() == d[by].tolist()
+    assert hypervectors.nearest_rows(vec.view(np.uint64), batches[:2], 10**9, 16)[0].shape == (3000, 3)
+
+
 def test_encoders(spark):
     e = hypervectors.Encoder(dim=256, bins=50, levels=8)
     book = np.unpackbits(hypervectors.position_codebook(20, 256, 1, "locality", 8), axis=1)
