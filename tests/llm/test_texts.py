@@ -268,6 +268,27 @@ def test_encoding_round_trip(spark):
     assert not got[2000]["restorable"] and got[1000]["restorable"]
 
 
+def test_a_model_above_its_bound_gives_the_same(spark):
+    """No n-gram is lost when the model is too large to be sent to every task: it is joined instead."""
+    words = ["Größe über Köln", "déjà vu à l’été", "Проверка пустых спектров", "señal más año"]
+    bad = [garbled(w, s) for w in words for s in (("cp1252", "utf-8"), ("cp437", "utf-8"))] + [garbled("über für", ("cp1252", "utf-8"), ("cp1252", "utf-8")), garbled("Проверка пустых", ("cp1251", "koi8-r")), "at 44 �C", "plain", "", None]
+    rows = [(i % 40, t) for i, t in enumerate([*CLEAN, *bad, *bad[:3]])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want, got = (sorted(tuple(r) for r in encoding.repair_encoding(df, "doc_id", "text", **caps).collect()) for caps in ({}, {"max_grams": 60}))
+    assert got == want and len(want) > 10 and any(" " in c for r in want for c in r[2])
+
+
+def test_every_symbol_that_leaves_the_same_character_is_tried():
+    texts = ["a – b"] * 90 + ["a → b"] * 60 + ["a “ b"] * 50 + ["a ← b"] * 40 + ["a ↓ b"] * 9
+    grams = {}
+    for t in texts:
+        for g in (g for w in encoding.tokens_of(t) for g in encoding.grams_of(w)):
+            grams[g] = grams.get(g, 0) + 1
+    model = encoding.GramModel(grams)
+    assert set(model.stripped["â"]) == set("–→“←↓")
+    assert ("↓", "latin-1-stripped>utf-8") in encoding.steps("â", model)
+
+
 WESTERN = ["les données de la mesure sont là", "une requête très élevée", "für die Größe der Straße", "möglich über größere Mengen", "los años después del análisis", "señal y función de la posición", "não há opções além da função"]
 
 
